@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.functions.labels import normal_form_sql
-from loomgraph.llm import cross_split, packing, term_counts, tokenizer
+from loomgraph.llm import cross_split, packing, similar, term_counts, tokenizer
 from loomgraph.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similar_pairs(table(spark, d, "node_embeddings")).select("node_id_a", "node_id_b")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return cross_split.overlaps(table(spark, d, "edge_list")).select("edge_id_a", "edge_id_b")
 
@@ -35,7 +39,7 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p5_found, p5_counts, p7_ids, p8_containers)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_counts, p5_found, p5_counts, p7_ids, p8_containers)}
 
 _S, _T, _D = (normal_form_sql(c) for c in ("src_column", "edge_type_column", "dst_column"))
 
