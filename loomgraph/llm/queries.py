@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.functions.labels import normal_form_sql
-from loomgraph.llm import cross_split, packing, similar, term_counts, tokenizer
+from loomgraph.llm import cross_split, keyword_pages, packing, similar, term_counts, tokenizer
 from loomgraph.session import table
 
 
@@ -39,7 +39,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_counts, p5_found, p5_counts, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return keyword_pages.keyword_pages(keyword_pages.page_scores(table(spark, d, "documents"))).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_counts, p5_found, p5_counts, p7_ids, p8_containers, p9_found)}
 
 _S, _T, _D = (normal_form_sql(c) for c in ("src_column", "edge_type_column", "dst_column"))
 
