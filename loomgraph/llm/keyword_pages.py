@@ -38,12 +38,14 @@ MAX_TRIGRAMS, REMEMBERED = 200_000, 200_000
 
 _TIME = r"\d{1,2}\s*[:.]\s*\d{2}\s*[:.,]\s*\d{2}(?:\s*[:.,]\s*\d{1,3})?"
 _CUES = re.compile(rf"{_TIME}\s*\S{{0,6}}\s?>?\s*{_TIME}|{_TIME}|\{{\d+\}}(?:\{{\d*\}})?|^[ \t﻿]*\d+[ \t]*$|^﻿?WEBVTT.*$", re.M)
+_TIMES = re.compile(rf"{_TIME}\s*-->\s*{_TIME}\s*").fullmatch
 _MARKUP = re.compile(r"</?[biusv](?:\s[^>]*)?>|</?font[^>]*>|</?c[.\w]*>|\{\\[^}]*\}")
 _ENDS = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+(?=[A-ZÀ-ÞА-ЯЁ¿¡«\"(\[♪♫*-])|(?<=[。？！])")
-_TOKENS = re.compile(
-    r"(?P<URL>(?:h[tx]{2}ps?://|www\.)\S+|<a\s[^>]*>|[a-z0-9][a-z0-9-]*(?:\.|\s?\(\.\)\s?|\s?\[dot\]\s?)[a-z]{2,}\b(?:/\S*)?)"
-    r"|(?P<HASH>#[^\W_]\w*)|(?P<PRICE>[$€£]\s?\d[\d.,]*|\d[\d.,]*\s?[$€£])|(?P<gap>(?<=[㐀-鿿])\s+(?=[㐀-鿿]))|(?P<han>[㐀-鿿])|(?P<word>(?:[^\W_㐀-鿿]|�)+)|(?P<mark>[^\w\s])"
-)
+_LINK = r"(?P<URL>(?:h[tx]{2}ps?://|www\.)\S+|<a\s[^>]*>|[a-z0-9][a-z0-9-]*(?:\.|\s?\(\.\)\s?|\s?\[dot\]\s?)[a-z]{2,}\b(?:/\S*)?)|(?P<HASH>#[^\W_]\w*)|"
+_PLAIN = r"(?P<PRICE>[$€£]\s?\d[\d.,]*|\d[\d.,]*\s?[$€£])|(?P<word>(?:[^\W_㐀-鿿]|\ufffd)+)|(?P<mark>[^\w\s])|(?P<han>[㐀-鿿])|(?P<gap>(?<=[㐀-鿿])\s+(?=[㐀-鿿]))"
+_TOKENS, _LINKED_TOKENS = re.compile(_PLAIN).finditer, re.compile(_LINK + _PLAIN).finditer
+_MAY_LINK = re.compile(r"://|www\.|<a\s|#|\(\.\)|\[dot\]|[a-z0-9]\.[a-z]").search
+_LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])").sub
 _TWICE = re.compile("[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ�]{2,}")
 _WESTERN = re.compile("[\xa8\xb8\xc0-\xff]")
 _SUNG = re.compile(r"^\s*(?:-\s*)?(?:[♪♫*(\[]|[#?]\s|[A-ZÀ-ÞА-ЯЁ]{2,}:\s*[♪♫])")
@@ -73,30 +75,34 @@ def repaired(line: str) -> str:
     return line
 
 
-def lines_of(text: str) -> Iterator[str]:
-    """Lines without cue numbers, times and markup; long ones, as of texts that lost their line ends, by sentence."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if not text.isascii():
-        text = "\n".join(map(repaired, text.split("\n")))
-    for line in _MARKUP.sub("", _CUES.sub("\n", text)).split("\n"):
-        line = line.strip("﻿ \t|")
-        if not line:
-            continue
+def raw_lines(text: str) -> list[str]:
+    """All lines but empty ones, cue numbers and plain lines of cue times."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return [x for x in text.split("\n") if x and not x.isdigit() and not ("0" <= x[0] <= "9" and _TIMES(x))]
+
+
+def pieces(raw: str) -> list[str]:
+    """What a raw line says, without cue numbers, times and markup; a long one, as of texts that lost their line ends, by sentence."""
+    out = []
+    for line in _MARKUP.sub("", _CUES.sub("\n", repaired(raw))).split("\n"):
+        line = line.strip("\ufeff \t|")
         if len(line) <= 60:
-            yield line
+            if line:
+                out.append(line)
         else:
-            for s in _ENDS.split(line):
-                if s and s.strip():
-                    yield s.strip()
+            out += [s.strip() for s in _ENDS.split(line) if s and s.strip()]
+    return out
 
 
 def symbols(line: str) -> tuple[list[str], float, float]:
     """The symbols of a line, its words (a Han character is half a word), and those of them that are broken or no words."""
-    line = re.sub(r"(?<=[^\W\d_])\?(?=[^\W\d_])", "�", line)
+    if "?" in line:
+        line = _LOST("�", line)
     out: list[str] = []
     words = broken = 0.0
     seen: set[str] = set()
-    for m in _TOKENS.finditer(line):
+    for m in (_LINKED_TOKENS if _MAY_LINK(line) else _TOKENS)(line):
         kind, x = m.lastgroup, m.group()
         if kind == "mark":
             out.append(x if x in _MARKS else "P")
@@ -150,29 +156,35 @@ def _is_text(s: list[str]) -> bool:
 class ProseCounter:
     """Trigrams of the documents that read like prose: most of their words stand in lines that do.
 
-    Equal lines are taken apart once; `remembered` bounds how many are kept.
+    Equal raw lines are taken apart once; `remembered` bounds how many are kept.
     """
 
     def __init__(self, remembered: int = REMEMBERED):
         self.remembered = remembered
         self.counts: Counter = Counter()
-        self.lines: Counter = Counter()  # of prose documents, not yet in counts
-        self.known: dict[str, tuple[float, bool]] = {}
+        self.lines: Counter = Counter()  # symbols of lines of prose documents, not yet in counts
+        self.known: dict[str, list[tuple[tuple[str, ...], float, bool]]] = {}
+
+    def _pieces(self, raw: str) -> list[tuple[tuple[str, ...], float, bool]]:
+        out = []
+        for line in pieces(raw):
+            s, words, _ = symbols(line)
+            if words and _is_text(s):
+                out.append((tuple(s), words, _in_prose(s)))
+        if len(raw) <= 200:
+            if len(self.known) >= self.remembered:
+                self.known.clear()
+            self.known[raw] = out
+        return out
 
     def add(self, text: str) -> bool:
         total = prose = 0.0
         found = []
-        for line in lines_of(text):
-            known = self.known.get(line)
-            if known is None:
-                s, words, _ = symbols(line)
-                known = (words, _in_prose(s)) if _is_text(s) else (0.0, False)
-                if len(self.known) >= self.remembered:
-                    self.known.clear()
-                self.known[line] = known
-            words, good = known
-            if words:
-                found.append(line)
+        known = self.known
+        for raw in raw_lines(text):
+            parts = known.get(raw)
+            for s, words, good in self._pieces(raw) if parts is None else parts:
+                found.append(s)
                 if words >= 3:
                     total += words
                     prose += words * good
@@ -185,8 +197,8 @@ class ProseCounter:
 
     def flush(self) -> Counter:
         counts = self.counts
-        for line, n in self.lines.items():
-            s = ["<s>", "<s>", *symbols(line)[0], "</s>"]
+        for symbols_, n in self.lines.items():
+            s = ["<s>", "<s>", *symbols_, "</s>"]
             for t in zip(s, s[1:], s[2:]):
                 counts[t] += n
         self.lines.clear()
@@ -250,21 +262,20 @@ class ProseModel:
 def line_scores(model: ProseModel, text: str, remembered: dict) -> list[tuple[float, float, bool]]:
     """(cost, words, spoken) of each line with words; spoken ones are sung or described, or too broken to be read."""
     found = []
-    for line in lines_of(text):
-        score = remembered.get(line)
-        if score is None:
-            s, words, broken = symbols(line)
-            if not _is_text(s):
-                score = (0.0, 0.0, True)
-            else:
-                linked = "URL" in s or "HASH" in s
-                score = (model.cost(s), words, (not linked and bool(_SUNG.match(line))) or 5 * broken >= words)
-            if len(line) <= 200:
+    for raw in raw_lines(text):
+        scores = remembered.get(raw)
+        if scores is None:
+            scores = []
+            for line in pieces(raw):
+                s, words, broken = symbols(line)
+                if words and _is_text(s):
+                    linked = "URL" in s or "HASH" in s
+                    scores.append((model.cost(s), words, (not linked and bool(_SUNG.match(line))) or 5 * broken >= words))
+            if len(raw) <= 200:
                 if len(remembered) >= REMEMBERED:
                     remembered.clear()
-                remembered[line] = score
-        if score[1]:
-            found.append(score)
+                remembered[raw] = scores
+        found += scores
     return found
 
 
