@@ -1,8 +1,8 @@
 """Queries over the driver's tables, with equivalent SQL."""
 
-from loomgraph.plans import data_quality, ingest_queries
+from loomgraph.plans import data_quality, graph_queries, ingest_queries
 
-_MODULES = (data_quality, ingest_queries)
+_MODULES = (data_quality, ingest_queries, graph_queries)
 CORE_QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 CORE_SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
 

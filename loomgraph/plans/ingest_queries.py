@@ -56,7 +56,7 @@ def edge_weights(spark, d):
 
 def edge_range(spark, d):
     placed = hash_positions(typed_edges(spark, d), 5, ["edge_id"])
-    return placed.withColumn("slot", F.floor(F.col("pos") / 10000).cast("bigint")).groupBy("slot").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("edge_id").alias("sum_edge_id"))
+    return placed.withColumn("slot", F.floor(F.col("pos") / 10000).cast("bigint")).groupBy("slot").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum(F.col("edge_id") % 1000003).alias("sum_edge_id"))
 
 
 def node_dictionary(spark, d):
@@ -89,7 +89,7 @@ def split_three_way(spark, d):
 
 
 def split_two_way(spark, d):
-    return op.split_edges(typed_edges(spark, d), (0.8, 0.1), ("train", "test"), seed=12).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("edge_id").alias("sum_edge_id"))
+    return op.split_edges(typed_edges(spark, d), (0.8, 0.1), ("train", "test"), seed=12).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("edge_id") % 1000003).alias("sum_edge_id"))
 
 
 def shuffle_batches(spark, d):
@@ -171,7 +171,7 @@ SQL = {
     "canonical_edges": "SELECT src_column AS src, edge_type_column AS rel, dst_column AS dst, edge_weight_column AS weight, edge_id FROM edge_list",
     "cast_edges": f"WITH {INT} SELECT edge_id, src::INTEGER AS src, dst::INTEGER AS dst FROM i",
     "edge_weights": f"WITH {TYPED} SELECT edge_id, weight::FLOAT::DOUBLE AS weight FROM e",
-    "edge_range": f"WITH {TYPED}, {_PLACED(5)} SELECT pos // 10000 AS slot, min(pos) AS first_pos, max(pos) AS last_pos, sum(edge_id)::BIGINT AS sum_edge_id FROM p GROUP BY 1",
+    "edge_range": f"WITH {TYPED}, {_PLACED(5)} SELECT pos // 10000 AS slot, min(pos) AS first_pos, max(pos) AS last_pos, sum(edge_id % 1000003)::BIGINT AS sum_edge_id FROM p GROUP BY 1",
     "node_dictionary": f"WITH {TYPED}, {_LABELS} {_ids('n', 7)}",
     "rel_dictionary": f"WITH {TYPED} {_ids('(SELECT DISTINCT rel AS label FROM e)', 7)}",
     "encode_edges": f"WITH {TYPED}, {_LABELS}, nd AS ({_ids('n', 7)}), rd AS ({_ids('(SELECT DISTINCT rel AS label FROM e)', 7)})"
@@ -181,7 +181,7 @@ SQL = {
     "remap_nodes": f"WITH {VECTORS} SELECT row_number() OVER (ORDER BY {digest_sql(3, 'id')}, id) - 1 AS id, coalesce(label, -1) AS label FROM v",
     "split_three_way": f"WITH {TYPED}, {_PLACED(11)} SELECT edge_id, {_SPLIT} AS split FROM p",
     "split_two_way": f"WITH {TYPED}, {_PLACED(12)}, s AS (SELECT edge_id, CASE WHEN pos < floor(total * 0.8) THEN 'train' WHEN pos < floor(total * 0.8) + floor(total * 0.1) THEN 'test' END AS split FROM p)"
-    " SELECT split, count(*) AS n, sum(edge_id)::BIGINT AS sum_edge_id FROM s WHERE split IS NOT NULL GROUP BY split",
+    " SELECT split, count(*) AS n, sum(edge_id % 1000003)::BIGINT AS sum_edge_id FROM s WHERE split IS NOT NULL GROUP BY split",
     "shuffle_batches": f"WITH {TYPED}, {_PLACED(13)} SELECT edge_id, pos // 1000 AS batch_id FROM p",
     "negative_chunks": f"WITH {INT}, {_PLACED(14, 'i')} SELECT edge_id, pos // ceil(total / 10)::BIGINT AS chunk_id FROM p",
     "degree_in_out": f"WITH {TYPED}, {_DEGREES} SELECT node, out_degree::BIGINT AS out_degree, in_degree::BIGINT AS in_degree FROM dg",

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from loomgraph.session import table
 
 
+def _line_id():
+    """Order and line don't identify a line; with part and supplier they do."""
+    return ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey") % 1000
+
+
 def typed_edges(spark: SparkSession, d: str) -> DataFrame:
     """Labelled edges customer -> part by return flag, weighted by quantity."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")  # noqa: E741
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")  # noqa: E741
     return l.join(o, l.l_orderkey == o.o_orderkey).select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("edge_id"),
+        _line_id().alias("edge_id"),
         F.concat(F.lit("c"), F.col("o_custkey")).alias("src"),
         F.col("l_returnflag").alias("rel"),
         F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"),
@@ -21,15 +26,15 @@ def typed_edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-TYPED = "e AS (SELECT l_orderkey * 8 + l_linenumber AS edge_id, 'c' || o_custkey AS src, l_returnflag AS rel, 'p' || l_partkey AS dst, l_quantity AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+TYPED = "e AS (SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS edge_id, 'c' || o_custkey AS src, l_returnflag AS rel, 'p' || l_partkey AS dst, l_quantity AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def int_edges(spark: SparkSession, d: str) -> DataFrame:
     """Integer edges supplier -> part."""
-    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("edge_id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return table(spark, d, "lineitem").select(_line_id().alias("edge_id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
 
 
-INT = "i AS (SELECT l_orderkey * 8 + l_linenumber AS edge_id, l_suppkey AS src, l_partkey AS dst FROM lineitem)"
+INT = "i AS (SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS edge_id, l_suppkey AS src, l_partkey AS dst FROM lineitem)"
 
 
 def node_vectors(spark: SparkSession, d: str) -> DataFrame:
