@@ -64,3 +64,15 @@ def place_edges(spark: SparkSession, d: str) -> DataFrame:
 
 PLACES = """pe AS (SELECT s_suppkey * 2 AS edge_id, s_suppkey * 2 + 1000 AS src, 0 AS rel, s_nationkey::BIGINT AS dst FROM supplier
   UNION ALL SELECT c_custkey * 2 + 1, c_custkey * 2 + 1001, 1, c_nationkey::BIGINT FROM customer)"""
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct (edge_id, src, rel, dst) between the nodes of node_vectors: customers (0) and suppliers (1), folded onto them, and their nations."""
+    n = F.lit(table(spark, d, "embeddings").count())
+    c = table(spark, d, "customer").select(F.pmod("c_custkey", n).alias("src"), F.lit(0).cast("bigint").alias("rel"), F.col("c_nationkey").cast("bigint").alias("dst"))
+    s = table(spark, d, "supplier").select(F.pmod("s_suppkey", n).alias("src"), F.lit(1).cast("bigint").alias("rel"), F.col("s_nationkey").cast("bigint").alias("dst"))
+    return c.unionByName(s).distinct().withColumn("edge_id", (F.col("src") * 2 + F.col("rel")) * 1000 + F.col("dst"))
+
+
+FACTS = """fd AS (SELECT c_custkey % (SELECT count(*) FROM embeddings) AS src, 0::BIGINT AS rel, c_nationkey::BIGINT AS dst FROM customer
+  UNION SELECT s_suppkey % (SELECT count(*) FROM embeddings), 1, s_nationkey FROM supplier), f AS (SELECT *, (src * 2 + rel) * 1000 + dst AS edge_id FROM fd)"""
