@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.labels import normal_form
 from loomgraph.operators.skew import heavy_labels
+from loomgraph.session import only
 
 SALTS = 32
 #: column of the edge list, and the parent table it refers to
@@ -16,7 +17,7 @@ FIELDS = (("src_column", "node_mapping"), ("edge_type_column", "relation_mapping
 
 def references(edges: DataFrame, fields: tuple[tuple[str, str], ...] = FIELDS, key: str = "edge_id", at: str = "loaded_at") -> DataFrame:
     """(parent, field, label, ref_id, at) of every label that is not absent."""
-    norm = edges.select(F.col(key).alias("ref_id"), F.col(at).alias("at"), *[normal_form(F.col(c)).alias(f"l{i}") for i, (c, _) in enumerate(fields)])
+    norm = only(edges, key, at, *dict.fromkeys(c for c, _ in fields)).select(F.col(key).alias("ref_id"), F.col(at).alias("at"), *[normal_form(F.col(c)).alias(f"l{i}") for i, (c, _) in enumerate(fields)])
     each = [F.struct(F.lit(p).alias("parent"), F.lit(c).alias("field"), F.col(f"l{i}").alias("label")) for i, (c, p) in enumerate(fields)]
     return norm.select("ref_id", "at", F.explode(F.array(*each)).alias("x")).select("x.parent", "x.field", "x.label", "ref_id", "at").filter(F.col("label").isNotNull())
 
@@ -26,7 +27,7 @@ def parent_events(mapping: DataFrame, parent: str, label: str) -> DataFrame:
 
     Rows without a start, and rows removed no later than they start, are never valid and give no event.
     """
-    rows = mapping.select(normal_form(F.col(label)).alias("label"), F.col("mapped_at").alias("a"), F.col("removed_at").alias("z"))
+    rows = only(mapping, label, "mapped_at", "removed_at").select(normal_form(F.col(label)).alias("label"), F.col("mapped_at").alias("a"), F.col("removed_at").alias("z"))
     valid = rows.filter(F.col("label").isNotNull() & F.col("a").isNotNull() & (F.col("z").isNull() | (F.col("z") > F.col("a"))))
     steps = F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("z").alias("at"), F.lit(-1).alias("delta")))
     return (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.labels import normal_form
+from loomgraph.session import only
 
 SALTS = 64
 HEAVY_SHARE = 0.005
@@ -18,7 +19,7 @@ def heavy_labels(df: DataFrame, columns: tuple[str, ...], share: float = HEAVY_S
     combine, so only distinct spellings are normalised.
     """
     n = df.count()
-    raw = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("raw")) for c in columns])).alias("x")).select("x.*")
+    raw = only(df, *columns).select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("raw")) for c in columns])).alias("x")).select("x.*")
     counted = raw.groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n"))
     terms = counted.select("field", normal_form(F.col("raw")).alias("term"), "n").groupBy("field", "term").agg(F.sum("n").alias("n"))
     return terms.filter(F.col("term").isNotNull() & (F.col("n") >= F.lit(share * max(n, 1)))).select("field", "term")
@@ -42,7 +43,7 @@ def label_stats(
     neighbour; null weights add nothing, and a label without any weight has a null sum. An empty table gives no rows.
     Other columns of `edges` are not read, whatever their names.
     """
-    ends = edges.select(normal_form(F.col(src)).alias("s"), normal_form(F.col(dst)).alias("d"), F.col(weight).cast("double").alias("w"))
+    ends = only(edges, src, dst, weight).select(normal_form(F.col(src)).alias("s"), normal_form(F.col(dst)).alias("d"), F.col(weight).cast("double").alias("w"))
     both = ends.select(
         F.explode(
             F.array(

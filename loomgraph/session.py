@@ -47,3 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def only(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of df, spelled exactly so and the first of each; other columns may have equal names, or equal but for case."""
+    wanted, names = set(columns), []
+    for i, c in enumerate(df.columns):
+        names.append(c if c in wanted else f"_other_{i}")
+        wanted.discard(c)
+    if wanted:
+        raise ValueError(f"no such column: {', '.join(sorted(wanted))}")
+    return df.toDF(*names).select(*columns)
