@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.labels import normal_form
+from loomgraph.session import only
 
 #: characters in the last piece of a label; labels of at most SHORT characters use deletion variants, both from LONG on
 TAIL, LONG, SHORT = 5, 10, 11
@@ -20,7 +21,8 @@ TRAIN, EVAL = "train", ("valid", "test")
 
 def normal_edges(edges: DataFrame) -> DataFrame:
     """(edge_id, split, source, kind, lo, hi, key): endpoints in order, absent labels left out; key hashes kind, lo and hi."""
-    n = edges.filter(F.col("split").isin(TRAIN, *EVAL)).select(
+    named = only(edges, "edge_id", "split", "source", "src_column", "edge_type_column", "dst_column")
+    n = named.filter(F.col("split").isin(TRAIN, *EVAL) & F.col("edge_id").isNotNull()).select(
         "edge_id", "split", "source", normal_form(F.col("edge_type_column")).alias("kind"), normal_form(F.col("src_column")).alias("s"), normal_form(F.col("dst_column")).alias("d")
     )
     both = n.filter(F.col("kind").isNotNull() & F.col("s").isNotNull() & F.col("d").isNotNull())
@@ -74,8 +76,8 @@ def overlaps(edges: DataFrame) -> DataFrame:
 
     A pair has the same edge type and endpoints that agree, in this or the opposite direction, but for at most one
     inserted, deleted or replaced character in one of them; labels are compared in normal form. edge_id_a is the smaller
-    id; split and source are those of the edge outside train. Edges with an absent label, or of another split, are in no
-    pair. Every such pair is a row, also between copies. An empty table gives no rows.
+    id; split and source are those of the edge outside train. Edges with an absent label, without an id, or of another split,
+    are in no pair. Every such pair is a row, also between copies. An empty table gives no rows.
     """
     e = normal_edges(edges)
     near = candidates(e)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.session import only
+
 # fixed values: function words of six languages
 FUNCTION_WORDS = {
     "en": "the a an of to in on at by for with from and or but not no is are was were be been am do did does have has had will would can could must i you he she it we they me him her us them my your his its our their this that these those what who where when why how if so as than then there here",
@@ -220,7 +222,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prose_counts(docs: DataFrame, text: str = "text", most: int = MAX_TRIGRAMS) -> DataFrame:
     """(a, b, c, n): trigrams of symbols in all documents that read like prose; the `most` frequent make up the model."""
-    counted = docs.select(text).mapInArrow(_trigrams, "a string, b string, c string, n bigint")
+    counted = only(docs, text).mapInArrow(_trigrams, "a string, b string, c string, n bigint")
     return counted.groupBy("a", "b", "c").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "a", "b", "c").limit(most)
 
 
@@ -325,7 +327,7 @@ def page_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", low: f
     """
     trigrams = [tuple(r) for r in prose_counts(docs, text).collect()]
     shared = docs.sparkSession.sparkContext.broadcast(trigrams)
-    return docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text")).mapInArrow(
+    return only(docs, key, text).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _scorer(shared, low, high), "doc_id bigint, cost double, keyword_words double, words double"
     )
 

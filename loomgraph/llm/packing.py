@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.tokenizer import VOCABULARY, with_token_counts
+from loomgraph.session import only
 
 CAPACITY = 2048
 #: documents packed together: large enough that the last containers of a group weigh little, small enough for one task
@@ -85,7 +86,7 @@ def pack(items: list[tuple[int, int, int, str | None]], capacity: int = CAPACITY
         full += [(doc, k, k * capacity, capacity) for k in range(n_full)]
         if size % capacity:
             rests.append((size % capacity, doc, n_full, n_full * capacity, cluster, source))
-    rests.sort(key=lambda x: (-x[0], x[1]))
+    rests.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0))
     for size, doc, piece, start, cluster, source in rests:
         b = bins.place(size, cluster_of.setdefault(cluster, len(cluster_of)), source_of.setdefault(source, len(source_of)), part_sources)
         yield doc, piece, start, size, b
@@ -113,8 +114,9 @@ def _pack_group(capacity: int, part_sources: bool):
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, vocabulary: str = VOCABULARY, part_sources: bool = False) -> DataFrame:
     """(doc_id, piece, start_token, n_tokens, container_id): every text in containers of `capacity` tokens.
 
-    Documents are spread by the hash of doc_id over groups of about `group_docs`, as many as the corpus needs; each
-    group is packed by itself, so no task holds more than a group, and only the last containers of a group stay open.
+    Documents are spread by a hash of doc_id and of their place in the task that read them over groups of about
+    `group_docs`, as many as the corpus needs, also if many share an id; each group is packed by itself, so no task
+    holds more than a group, and only the last containers of a group stay open.
     A container never holds two texts of a duplicate cluster (equal but for case and white space); of equally tight
     containers one without the text's source is taken. With part_sources equal sources conflict as well, which with few
     sources leaves much space unused.
@@ -124,7 +126,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int =
     """
     n_groups = max(1, -(-docs.count() // group_docs))
     flat = F.regexp_replace(F.lower("text"), r"\s+", " ")
-    items = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.xxhash64(flat).alias("cluster"), F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).alias("pack_group"), "text"
-    )
-    return with_token_counts(items, vocabulary).groupBy("pack_group").applyInArrow(_pack_group(capacity, part_sources), PACKED)
+    items = only(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.xxhash64(flat).alias("cluster"), "text")
+    counted = with_token_counts(items, vocabulary).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "place"), F.lit(n_groups))).drop("place")
+    return counted.groupBy("pack_group").applyInArrow(_pack_group(capacity, part_sources), PACKED)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.session import written
+from loomgraph.session import only, written
 
 DIM, TREES, BITS = 64, 16, 64
 #: places that a vector ascends to either side in each tree, and rows of a tree in one task
@@ -33,6 +33,8 @@ def _planes(dim: int) -> np.ndarray:
 
 def _usable(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if not batch.num_rows:
+            continue
         ids, lists = batch.column(0), batch.column(1)
         sizes = np.asarray(lists.value_lengths().fill_null(0))
         whole = np.flatnonzero((sizes == dim) & ~np.asarray(ids.is_null()))
@@ -50,7 +52,7 @@ def _usable(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
 
 def usable_vectors(df: DataFrame, key: str = "node_id", vector: str = "embedding", dim: int = DIM) -> DataFrame:
     """(node_id, cls, vec): rows with exactly `dim` finite components that are not all zero; vec as floats, cls hashes the direction."""
-    return df.select(df[key].cast("bigint").alias("node_id"), df[vector].cast("array<float>").alias("v")).mapInArrow(lambda b: _usable(b, dim), "node_id bigint, cls binary, vec binary")
+    return only(df, key, vector).select(F.col(key).cast("bigint").alias("node_id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(lambda b: _usable(b, dim), "node_id bigint, cls binary, vec binary")
 
 
 def _floats(column: pa.Array, dim: int) -> np.ndarray:
@@ -107,6 +109,8 @@ def _ascended(batches: Iterator[pa.RecordBatch], reach: int, level: int, most_ap
 
 def _compared(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if not batch.num_rows:
+            continue
         x, y = (_floats(batch.column(k), dim).astype(np.float64) for k in (2, 3))
         dot = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(dot, 6))], names=["a", "b", "similarity"])

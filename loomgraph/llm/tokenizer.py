@@ -14,6 +14,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.session import only
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: how this vocabulary splits a text into words
@@ -151,7 +154,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     Null and empty texts give an empty list; blank ones the ids of their white space. The strings of special tokens are
     ordinary text. Repeated keys give a row each. No shuffle takes place, and long texts are encoded whole.
     """
-    return docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text")).mapInArrow(_encoder(share(docs, vocabulary)), "doc_id bigint, ids array<int>")
+    return only(docs, key, text).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoder(share(docs, vocabulary)), "doc_id bigint, ids array<int>")
 
 
 def _counter(vocabulary: _Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -160,16 +163,19 @@ def _counter(vocabulary: _Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], It
 
         split = regex.compile(PATTERN).findall
         size = _Words(_ranks(vocabulary), len).__getitem__
+        place = 0
         for batch in batches:
             at = batch.schema.get_field_index("text")
             counts = [sum(map(size, split(text))) if text else 0 for text in (x.as_py() for x in batch.column(at))]
             kept = [(name, batch.column(k)) for k, name in enumerate(batch.schema.names) if k != at]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(counts, pa.int64())], names=[*(n for n, _ in kept), "n_tokens"])
+            places = pa.array(range(place, place + batch.num_rows), pa.int64())
+            place += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(counts, pa.int64()), places], names=[*(n for n, _ in kept), "n_tokens", "place"])
 
     return run
 
 
 def with_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Replace the column `text` by n_tokens, the number of its ids; 0 for null and empty texts."""
+    """Replace the column `text` by n_tokens, the number of its ids (0 for null and empty texts), and place, the row's place in its task."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_counter(share(docs, vocabulary)), f"{kept}, n_tokens bigint")
+    return docs.mapInArrow(_counter(share(docs, vocabulary)), f"{kept}, n_tokens bigint, place bigint")
