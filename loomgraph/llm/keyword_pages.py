@@ -32,7 +32,7 @@ _HAN = frozenset(FUNCTION_WORDS["zh"])
 _MARKS = frozenset(",.!?;:|/-—…♪♫#()[]*\"'。，？！>«»¿¡")
 
 #: nats per symbol: lines of prose lie between these
-LOW, HIGH = 0.35, 2.3
+LOW, HIGH = 0.35, 2.4
 #: a page is reported above this share of its words; its prose weighs in on the line before and after by NEAR
 SHARE, NEAR = 0.5, 0.5
 #: size of the model, and lines a worker remembers the score of
@@ -158,6 +158,8 @@ def _is_text(s: list[str]) -> bool:
 class ProseCounter:
     """Trigrams of the documents that read like prose: most of their words stand in lines that do.
 
+    Of their lines, those that don't are left out, but for short ones and misread ones, as of speech.
+
     Equal raw lines are taken apart once; `remembered` bounds how many are kept.
     """
 
@@ -186,7 +188,8 @@ class ProseCounter:
         for raw in raw_lines(text):
             parts = known.get(raw)
             for s, words, good in self._pieces(raw) if parts is None else parts:
-                found.append(s)
+                if good or words < 3 or "MIX" in s:
+                    found.append(s)
                 if words >= 3:
                     total += words
                     prose += words * good

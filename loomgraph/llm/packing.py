@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,14 +16,17 @@ from loomgraph.session import only
 CAPACITY = 2048
 #: documents packed together: large enough that the last containers of a group weigh little, small enough for one task
 GROUP_DOCS = 8192
+#: share of further bins that conflicts may cost
+SLACK = 0.02
 PACKED = "doc_id bigint, piece int, start_token bigint, n_tokens bigint, container_id bigint"
 
 
 class Bins:
     """Open bins by residual capacity. Each carries bitmaps of the duplicate clusters and of the sources it holds."""
 
-    def __init__(self, capacity: int):
+    def __init__(self, capacity: int, enough: int | None = None):
         self.capacity = capacity
+        self.enough = enough  # bins from which on space goes before conflicts
         self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.residuals = 0  # bit r: some bin has residual r
         self.clusters: list[int] = []
@@ -31,7 +36,8 @@ class Bins:
         """The tightest bin without this cluster; of equally tight ones, the first without this source.
 
         Residuals are visited in ascending order from `size` until one has a compatible bin; if none has, a bin is
-        opened. part_sources makes an equal source a conflict too.
+        opened. part_sources makes an equal source a conflict too. Once there are `enough` bins, an item that fits but
+        conflicts everywhere goes into the tightest bin nevertheless.
         """
         c, s = 1 << cluster, 1 << source
         above = self.residuals >> size
@@ -55,6 +61,13 @@ class Bins:
                     self.residuals &= ~(1 << r)
                 return self._put(b, r - size, c, s)
             above &= ~1
+        above = self.residuals >> size
+        if above and self.enough is not None and len(self.clusters) >= self.enough:
+            r = size + (above & -above).bit_length() - 1
+            b = self.open[r].pop(0)
+            if not self.open[r]:
+                self.residuals &= ~(1 << r)
+            return self._put(b, r - size, c, s)
         self.clusters.append(0)
         self.sources.append(0)
         return self._put(len(self.clusters) - 1, self.capacity - size, c, s)
@@ -71,9 +84,10 @@ class Bins:
 def pack(items: list[tuple[int, int, int, str | None]], capacity: int = CAPACITY, part_sources: bool = False) -> Iterator[tuple[int, int, int, int, int | None]]:
     """(doc, piece, start, size, bin) for items (doc, size, cluster, source), largest piece first.
 
-    Only an item above the capacity is divided: into full containers and a rest, which is packed like an item.
+    Only an item above the capacity is divided: into full containers and a rest, which is packed like an item. Clusters
+    with more copies than a quarter of the bins come before all others, to be spread while bins are empty. Conflicts
+    may cost SLACK of the bins that the total size calls for; copies beyond that share bins.
     """
-    bins, next_full = Bins(capacity), 0
     cluster_of: dict[int, int] = {}
     source_of: dict[str | None, int] = {}
     rests: list[tuple[int, int, int, int, int, str | None]] = []
@@ -86,7 +100,10 @@ def pack(items: list[tuple[int, int, int, str | None]], capacity: int = CAPACITY
         full += [(doc, k, k * capacity, capacity) for k in range(n_full)]
         if size % capacity:
             rests.append((size % capacity, doc, n_full, n_full * capacity, cluster, source))
-    rests.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+    least = -(-sum(x[0] for x in rests) // capacity)
+    copies = Counter(x[4] for x in rests)
+    rests.sort(key=lambda x: (4 * copies[x[4]] <= least, -x[0], x[1] is None, x[1] or 0))
+    bins = Bins(capacity, math.ceil(least * (1 + SLACK)))
     for size, doc, piece, start, cluster, source in rests:
         b = bins.place(size, cluster_of.setdefault(cluster, len(cluster_of)), source_of.setdefault(source, len(source_of)), part_sources)
         yield doc, piece, start, size, b
@@ -117,8 +134,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int =
     Documents are spread by a hash of doc_id and of their place in the task that read them over groups of about
     `group_docs`, as many as the corpus needs, also if many share an id; each group is packed by itself, so no task
     holds more than a group, and only the last containers of a group stay open.
-    A container never holds two texts of a duplicate cluster (equal but for case and white space); of equally tight
-    containers one without the text's source is taken. With part_sources equal sources conflict as well, which with few
+    A container holds two texts of a duplicate cluster (equal but for case and white space) only if a group has more
+    copies than it has containers, give or take SLACK; of equally tight containers one without the text's source is taken. With part_sources equal sources conflict as well, which with few
     sources leaves much space unused.
 
     Texts above the capacity are divided at multiples of it. Null and empty texts have no tokens and come out with
