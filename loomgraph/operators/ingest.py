@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.operators.order import hash_positions
+from loomgraph.session import written
 
 # fixed values: entries that stand for a missing entity, after cleaning
 INVALID = ("0", "", "none", "not reported")
@@ -66,10 +68,12 @@ def node_dictionary(edges: DataFrame, seed: int = 0, train_nodes: DataFrame | No
     """(label, id): dense ids from 0 in hash order.
 
     With `train_nodes` (label) those get the lowest ids. With `first` (label, place) those get the ids 0, 1, ... by
-    place, and all others follow.
+    place, and all others follow. The distinct labels are written to the shared folder first: numbering them takes two
+    looks at them, but only one at the edges.
     """
-    labels = node_labels(edges, *([train_nodes] if train_nodes is not None else []))
+    labels = written(node_labels(edges, *([train_nodes] if train_nodes is not None else [])), "labels")
     if first is not None:
+        first = written(first, "first")
         n = first.count()
         rest = hash_positions(labels.join(first.select("label"), "label", "left_anti"), seed, ["label"], "id")
         return first.select("label", F.col("place").cast("bigint").alias("id")).unionByName(rest.select("label", (F.col("id") + n).alias("id")))
@@ -80,15 +84,17 @@ def node_dictionary(edges: DataFrame, seed: int = 0, train_nodes: DataFrame | No
 
 
 def relation_dictionary(edges: DataFrame, seed: int = 0) -> DataFrame:
-    labels = edges.select(F.col("rel").alias("label")).filter(F.col("label").isNotNull()).distinct()
+    labels = written(edges.select(F.col("rel").alias("label")).filter(F.col("label").isNotNull()).distinct(), "relations")
     return hash_positions(labels, seed, ["label"], "id").select("label", "id")
 
 
 def encode_edges(edges: DataFrame, nodes: DataFrame, rels: DataFrame, how: str = "inner") -> DataFrame:
     """Replace the labels src, rel, dst by ids; the other columns stay. With how='left' unknown labels become null.
 
-    Joins are left to the planner: it broadcasts a dictionary only below the session's size threshold.
+    Joins are left to the planner, which broadcasts a dictionary only below the session's size threshold. So that it
+    knows the sizes, and a dictionary isn't made anew for each end, both are written to the shared folder.
     """
+    nodes, rels = written(nodes.select("label", "id"), "nodes"), written(rels.select("label", "id"), "rels")
     rest = [c for c in edges.columns if c not in ("src", "rel", "dst")]
     side = lambda d, c: d.select(F.col("label").alias(c), F.col("id").alias(f"{c}_id"))
     joined = edges.join(side(rels, "rel"), "rel", how).join(side(nodes, "src"), "src", how).join(side(nodes, "dst"), "dst", how)
@@ -112,16 +118,15 @@ def remap_nodes(table: DataFrame, mapping: DataFrame, key: str, label: str | Non
 
 def split_edges(edges: DataFrame, fractions: Sequence[float] = (0.9, 0.05, 0.05), names: Sequence[str] = ("train", "valid", "test"), seed: int = 0, key: str = "edge_id") -> DataFrame:
     """Append split: exact cut points int(n * f) in hash order; rows beyond the last cut (fractions below 1) are dropped."""
-    n = edges.count()
-    placed = hash_positions(edges, seed, [key], "_pos")
-    split, end = F.lit(None).cast("string"), 0
-    cuts = []
+    placed = hash_positions(edges, seed, [key], "_pos", total="_total")
+    split, end, ends = F.lit(None).cast("string"), F.lit(0), []
     for i, f in enumerate(fractions):
-        end = n if i == len(fractions) - 1 and abs(sum(fractions) - 1) < 1e-9 else end + int(n * f)
-        cuts.append(end)
-    for name, end in reversed(list(zip(names, cuts))):
+        whole = i == len(fractions) - 1 and abs(sum(fractions) - 1) < 1e-9
+        end = F.col("_total") if whole else end + F.floor(F.col("_total") * F.lit(float(f)))
+        ends.append(end)
+    for name, end in reversed(list(zip(names, ends))):
         split = F.when(F.col("_pos") < end, F.lit(name)).otherwise(split)
-    return placed.withColumn("split", split).filter(F.col("split").isNotNull()).drop("_pos")
+    return placed.withColumn("split", split).filter(F.col("split").isNotNull()).drop("_pos", "_total")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -138,8 +143,6 @@ def all_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def top_degree(edges: DataFrame, k: int) -> DataFrame:
     """(label, place): the k nodes of highest total degree, ties by label."""
     top = degrees(edges).orderBy(F.col("degree").desc(), "node").limit(k)
-    from pyspark.sql import Window as W
-
     return top.select(F.col("node").alias("label"), (F.row_number().over(W.orderBy(F.col("degree").desc(), "node")) - 1).alias("place"))  # k rows
 
 

@@ -12,17 +12,19 @@ from loomgraph.functions.hashing import digest
 DIGITS = 3
 
 
-def hash_positions(df: DataFrame, seed: int | str, keys: list[str], name: str = "pos", major: Column | None = None, digits: int = DIGITS) -> DataFrame:
+def hash_positions(df: DataFrame, seed: int | str, keys: list[str], name: str = "pos", major: Column | None = None, digits: int = DIGITS, total: str | None = None) -> DataFrame:
     """Append `name`: the place, from 0, of each row ordered by `major`, then by the digest of seed and keys, then by keys.
 
     Rows are numbered within buckets of equal leading digits; the bucket sizes, a bounded table, give the offsets.
-    `major` must be a small integer (null: 0).
+    `major` must be a small integer (null: 0). `total` names a further column for the number of all rows.
     """
     d = df.withColumn("_digest", digest(seed, *keys)).withColumn("_major", F.coalesce(major.cast("int"), F.lit(0)) if major is not None else F.lit(0))
     d = d.withColumn("_bucket", F.substring("_digest", 1, digits))
     sizes = d.groupBy("_major", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_major", "_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = F.broadcast(sizes.select("_major", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))  # at most majors x 16 ** digits rows
+    whole = W.orderBy("_major", "_bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    counted = [F.sum("_n").over(whole).alias(total)] if total else []
+    offsets = F.broadcast(sizes.select("_major", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), *counted))  # at most majors x 16 ** digits rows
     within = W.partitionBy("_major", "_bucket").orderBy("_digest", *keys)
     placed = d.withColumn("_rn", F.row_number().over(within)).join(offsets, ["_major", "_bucket"])
     return placed.withColumn(name, (F.col("_offset") + F.col("_rn") - 1).cast("bigint")).drop("_digest", "_major", "_bucket", "_rn", "_offset")

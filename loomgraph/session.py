@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,12 +47,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per context, so that they need not have it installed."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_loomgraph_shipped", False) or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"  # Spark's file server hands it on
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(str(path))
+    context._loomgraph_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns of df, spelled exactly so and the first of each; other columns may have equal names, or equal but for case."""
+    ship(df.sparkSession)
     wanted, names = set(columns), []
     for i, c in enumerate(df.columns):
         names.append(c if c in wanted else f"_other_{i}")
