@@ -21,10 +21,10 @@ from loomgraph.session import only
 # fixed values: function words of six languages
 FUNCTION_WORDS = {
     "en": "the a an of to in on at by for with from and or but not no is are was were be been am do did does have has had will would can could must i you he she it we they me him her us them my your his its our their this that these those what who where when why how if so as than then there here",
-    "es": "el la los las un una unos de del al en con por para sin y o pero no es son era fue está están hay ser yo tú él ella nosotros ellos me te se lo le les mi tu su nos que qué quién dónde cuándo cómo cuánto si más ya muy",
+    "es": "el la los las un una unos de del al en con por para sin y o pero no es son era fue está están hay ser yo tú él ella nosotros ellos me te se lo le les mi tu su nos que qué quién dónde cuándo cómo cuánto si más ya muy aquí allí",
     "de": "der die das den dem des ein eine einen einem einer und oder aber nicht kein keine ist sind war waren sein bin habe hat haben wird will kann muss ich du er sie es wir ihr mir dir ihm uns mein dein mich dich zu im am vom zum von mit auf für aus bei nach vor um so was wer wo wann wie warum wenn nur da hier jeder jemand niemand",
-    "fr": "le la les l d un une des du de au aux et ou mais ne pas n est sont était c ce cette ça j je tu il elle on nous vous ils me m te t se s y leur mon ton son ma ta sa qui que qu quoi où quand comment pourquoi si dans en sur sous avec pour par sans plus ai as a ont va faut",
-    "ru": "и в во не на я ты он она мы вы они это этот эта то что кто где когда как почему с со к ко у о об от до из за по под над для без но а или же бы ли да нет мой моя моё твой его её их наш ваш меня мне тебя тебе был была было были есть так там тут надо чьё чей если нас",
+    "fr": "le la les l d un une des du de au aux et ou mais ne pas n est sont était c ce cette ça j je tu il elle on nous vous ils me m te t se s y leur mon ton son ma ta sa qui que qu quoi où quand comment pourquoi si ici là dans en sur sous avec pour par sans plus ai as a ont va faut",
+    "ru": "и в во не на я ты он она мы вы они это этот эта то что кто где когда как почему с со к ко у о об от до из за по под над для без но а или же бы ли да нет мой моя моё твой его её их наш ваш меня мне тебя тебе был была было были есть так там тут здесь надо чьё чей если нас",
     "zh": "的了在是我你他她它们把被和与就都也不没有很太这那哪里个要会能得着过吗呢吧什么谁为去来到从对上下说问听别好多少人一再",
 }
 _WORDS = frozenset(w for lang, text in FUNCTION_WORDS.items() if lang != "zh" for w in text.split())
@@ -32,7 +32,7 @@ _HAN = frozenset(FUNCTION_WORDS["zh"])
 _MARKS = frozenset(",.!?;:|/-—…♪♫#()[]*\"'。，？！>«»¿¡")
 
 #: nats per symbol: lines of prose lie between these
-LOW, HIGH = 0.35, 2.4
+LOW, HIGH = 0.35, 2.3
 #: a page is reported above this share of its words; its prose weighs in on the line before and after by NEAR
 SHARE, NEAR = 0.5, 0.5
 #: size of the model, and lines a worker remembers the score of
@@ -47,6 +47,7 @@ _LINK = r"(?P<URL>(?:h[tx]{2}ps?://|www\.)\S+|<a\s[^>]*>|[a-z0-9][a-z0-9-]*(?:\.
 _PLAIN = r"(?P<PRICE>[$€£]\s?\d[\d.,]*|\d[\d.,]*\s?[$€£])|(?P<word>(?:[^\W_㐀-鿿]|\ufffd)+)|(?P<mark>[^\w\s])|(?P<han>[㐀-鿿])|(?P<gap>(?<=[㐀-鿿])\s+(?=[㐀-鿿]))"
 _TOKENS, _LINKED_TOKENS = re.compile(_PLAIN).finditer, re.compile(_LINK + _PLAIN).finditer
 _MAY_LINK = re.compile(r"://|www\.|<a\s|#|\(\.\)|\[dot\]|[a-z0-9]\.[a-z]").search
+_RUNS = re.compile(r"\w+").findall
 _LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])").sub
 _TWICE = re.compile("[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ�]{2,}")
 _WESTERN = re.compile("[\xa8\xb8\xc0-\xff]")
@@ -98,7 +99,7 @@ def pieces(raw: str) -> list[str]:
 
 
 def symbols(line: str) -> tuple[list[str], float, float]:
-    """The symbols of a line, its words (a Han character is half a word), and those of them that are broken or no words."""
+    """The symbols of a line, its words, and those of them that are broken. A Han character is half a word; a link has as many words as runs of letters and digits."""
     if "?" in line:
         line = _LOST("�", line)
     out: list[str] = []
@@ -114,7 +115,7 @@ def symbols(line: str) -> tuple[list[str], float, float]:
         elif kind == "gap":
             out.append("GAP")
         elif kind != "word":
-            words += 1
+            words += len(_RUNS(x))
             out.append(kind)
         else:
             low = x.lower()
@@ -144,11 +145,11 @@ def _is_function(symbol: str) -> bool:
 
 
 def _in_prose(s: list[str]) -> bool:
-    """Whether a line holds function words, or is sung or described."""
-    if "URL" in s or "HASH" in s or "MIX" in s:
+    """Whether a line holds function words, as an advert with a link does too, or is sung or described."""
+    if "HASH" in s or "MIX" in s:
         return False
     named = [x for x in s if x.isalpha()]
-    return 4 * sum(map(_is_function, named)) >= len(named) or (s[0] in "♪♫#([*" and s[-1] in ".!?…。？！♪♫#)]*")
+    return 4 * sum(map(_is_function, named)) >= len(named) or ("URL" not in s and s[0] in "♪♫#([*" and s[-1] in ".!?…。？！♪♫#)]*")
 
 
 def _is_text(s: list[str]) -> bool:
