@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +97,25 @@ def train_links(edges: DataFrame, nodes: DataFrame, rels: DataFrame, epochs: int
         grads = distmult_mse_gradients(edges, nodes, rels)
         nodes = written(sparse_adagrad(nodes, grads, lr, dim), f"epoch-{epoch}")
     return nodes
+
+
+def normal_vectors(ids: DataFrame, dim: int, mean: float, std: float, seed: int = 0) -> DataFrame:
+    """(id, vec): normal values by hash, from two even ones each."""
+    one = lambda j: mean + std * F.sqrt(-2 * F.log(1 - unit(seed, "id", F.lit(f"{j}u")))) * F.cos(unit(seed, "id", F.lit(f"{j}v")) * (2 * math.pi))
+    return ids.select("id", F.array(*[one(j) for j in range(dim)]).alias("vec"))
+
+
+def constant_vectors(ids: DataFrame, dim: int, value: float) -> DataFrame:
+    return ids.select("id", F.array_repeat(F.lit(float(value)), dim).alias("vec"))
+
+
+def dropout(nodes: DataFrame, rate: float, seed: int = 0) -> DataFrame:
+    """(id, vec) with components set to 0 with probability `rate` by hash, and the others scaled up; for training only."""
+    keep = lambda x, j: F.when(unit(seed, "id", j) >= rate, x / (1 - rate)).otherwise(F.lit(0.0))
+    return nodes.select("id", F.transform("vec", keep).alias("vec"))
+
+
+def unsound(nodes: DataFrame, low: float, high: float) -> DataFrame:
+    """One row: vectors with NaN, with negative components, and with components outside [low, high]."""
+    count = lambda test: F.sum(F.exists("vec", test).cast("bigint"))
+    return nodes.agg(count(lambda x: F.isnan(x)).alias("n_nan"), count(lambda x: x < 0).alias("n_negative"), count(lambda x: (x < low) | (x > high)).alias("n_outside"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions.hashing import digest
+from loomgraph.functions.hashing import digest, draw
 from loomgraph.operators.order import exclusive_sums
 
 
@@ -156,3 +156,19 @@ def buffer_map(nodes: DataFrame, states: DataFrame, n_nodes: int, n_parts: int)
     placed = parted.join(where, "part", "left").join(F.broadcast(ids)).select("id", "part", "slots", F.explode("ids").alias("state_id"))  # ids: one row
     slot = F.col("slots")[F.col("state_id")]
     return placed.select("state_id", "id", F.coalesce(slot * size + F.col("id") - F.col("part") * size, F.lit(-1)).cast("bigint").alias("slot_id"))
+
+
+def away(states: DataFrame, n_parts: int) -> DataFrame:
+    """(state_id, part): partitions that aren't resident in each state."""
+    every = states.sparkSession.range(n_parts).select(F.col("id").cast("int").alias("part"))
+    ids = states.agg(F.collect_set("state_id").alias("ids"))  # one row
+    pairs = every.join(F.broadcast(ids)).select(F.explode("ids").alias("state_id"), "part")
+    return pairs.join(states.select("state_id", "part"), ["state_id", "part"], "left_anti")
+
+
+def nodes_of_states(nodes: DataFrame, states: DataFrame, n_nodes: int, n_parts: int, seed: int = 0) -> DataFrame:
+    """(id, state_id): each node goes to one of the states that hold its partition, drawn evenly."""
+    parted = nodes.select("id", F.floor(F.col("id") / partition_size(n_nodes, n_parts)).cast("int").alias("part"))
+    where = states.groupBy("part").agg(F.array_sort(F.collect_list("state_id")).alias("states"))  # one row a partition
+    drawn = draw(seed, "id") % F.size("states")
+    return parted.join(where, "part").select("id", F.col("states")[drawn.cast("int")].alias("state_id"))

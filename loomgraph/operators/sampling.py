@@ -145,3 +145,27 @@ def filtered_negative_counts(queries: DataFrame, known: DataFrame, n_nodes: int)
 def drop_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """Candidate edges (src, rel, dst) that no known edge equals."""
     return candidates.join(known.select("src", "rel", "dst").distinct(), ["src", "rel", "dst"], "left_anti")
+
+
+def both_negatives(spark: SparkSession, n_chunks: int, per_chunk: int, n_nodes: int, seed: int = 0) -> DataFrame:
+    """(end, chunk_id, neg_id, node): negatives in place of src, and others in place of dst."""
+    parts = [uniform_negatives(spark, n_chunks, per_chunk, n_nodes, seed + k).withColumn("end", F.lit(end)) for k, end in enumerate(("src", "dst"))]
+    return parts[0].unionByName(parts[1])
+
+
+def negative_edges(spark: SparkSession, n: int, n_nodes: int, n_rels: int, known: DataFrame, seed: int = 0) -> DataFrame:
+    """(src, rel, dst): n edges drawn evenly, less those that are known."""
+    drawn = spark.range(n).select((draw(seed, "id", F.lit("s")) % n_nodes).alias("src"), (draw(seed, "id", F.lit("r")) % n_rels).cast("int").alias("rel"), (draw(seed, "id", F.lit("d")) % n_nodes).alias("dst"))
+    return drop_known(drawn, known)
+
+
+def random_nodes(spark: SparkSession, n: int, n_nodes: int, seed: int = 0) -> DataFrame:
+    """(draw, node): n node ids, with replacement."""
+    return spark.range(n).select(F.col("id").alias("draw"), (draw(seed, "id") % n_nodes).alias("node"))
+
+
+def batch_nodes(placed: DataFrame, negatives: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """(batch_id, node, local_id): distinct src, dst and negatives (chunk_id = batch_id) of each batch, numbered in order."""
+    ends = placed.select(batch, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = ends.unionByName(negatives.select(F.col("chunk_id").alias(batch), "node")).distinct()
+    return nodes.withColumn("local_id", (F.row_number().over(W.partitionBy(batch).orderBy("node")) - 1).cast("bigint"))

@@ -1,8 +1,8 @@
 """Queries over the driver's tables, with equivalent SQL."""
 
-from loomgraph.plans import data_quality, graph_queries, ingest_queries, io_queries, model_queries
+from loomgraph.plans import batch_queries, data_quality, graph_queries, ingest_queries, io_queries, model_queries
 
-_MODULES = (data_quality, ingest_queries, graph_queries, model_queries, io_queries)
+_MODULES = (data_quality, ingest_queries, graph_queries, model_queries, io_queries, batch_queries)
 CORE_QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 CORE_SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
 

@@ -92,6 +92,12 @@ SQL = {
     "p1_edges": f"{_LINES} SELECT line_id, file_id, line_no, src, edge_type, dst, CASE WHEN w <> '' THEN w::DOUBLE END AS weight FROM c WHERE ok",
     "p3_found": f"{_EVENTS} SELECT edge_id, field FROM orphan",
     "p3_counts": f"{_EVENTS} SELECT parent, strftime(loaded_at, '%Y-%m') AS month, count(*) AS n_orphans FROM orphan GROUP BY 1, 2",
+    "p3_pending": f"{_EVENTS}, valid AS (SELECT * FROM held WHERE label IS NOT NULL AND mapped_at IS NOT NULL AND (removed_at IS NULL OR removed_at > mapped_at)), known AS (SELECT * FROM refs WHERE label IS NOT NULL AND loaded_at IS NOT NULL),"
+    " steps AS (SELECT parent, mapped_at AS moment FROM valid UNION SELECT parent, removed_at FROM valid WHERE removed_at IS NOT NULL UNION SELECT parent, loaded_at FROM known),"
+    " months AS (SELECT DISTINCT parent, date_trunc('month', moment) + INTERVAL 1 MONTH AS ends FROM steps), counted AS (SELECT parent, label, date_trunc('month', loaded_at) + INTERVAL 1 MONTH AS ends, count(*) AS n FROM known GROUP BY 1, 2, 3),"
+    " seen AS (SELECT m.parent, m.ends, c.label, sum(c.n) AS n FROM months m JOIN counted c ON c.parent = m.parent AND c.ends <= m.ends GROUP BY 1, 2, 3),"
+    " open_ AS (SELECT * FROM seen s WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.parent = s.parent AND v.label = s.label AND v.mapped_at < s.ends AND (v.removed_at IS NULL OR v.removed_at >= s.ends)))"
+    " SELECT m.parent, strftime(m.ends - INTERVAL 1 MONTH, '%Y-%m') AS month, coalesce(sum(o.n), 0)::BIGINT AS n_pending FROM months m LEFT JOIN open_ o ON o.parent = m.parent AND o.ends = m.ends GROUP BY 1, 2",
     "p6_found": f"{_LABELS} SELECT field, term FROM stats WHERE n_edges >= 0.02 * (SELECT count(*) FROM edge_list)",
     "p6_labels": f"{_LABELS} SELECT * FROM stats",
 }
