@@ -72,6 +72,12 @@ pairs AS (
 )"""
 
 SQL = {
+    "p2_found": """
+WITH e AS (SELECT node_id AS id, embedding::DOUBLE[] AS v FROM node_embeddings WHERE len(embedding) = 64),
+u AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e WHERE NOT list_bool_or(list_transform(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+s AS (SELECT a.id AS x, b.id AS y, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.n * b.n), 6) AS c FROM u a JOIN u b ON a.id <> b.id),
+r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS k FROM s WHERE c >= 0.85)
+SELECT DISTINCT least(x, y) AS node_id_a, greatest(x, y) AS node_id_b FROM r WHERE k <= 5""",
     "p4_found": f"{_OVERLAPS} SELECT least(a, b) AS edge_id_a, greatest(a, b) AS edge_id_b FROM pairs",
     "p4_counts": f"{_OVERLAPS}, g AS (SELECT split, source, b, max(exact::INT) AS x, count(*) AS n FROM pairs GROUP BY 1, 2, 3)"
     " SELECT split, source, count(*) AS n_edges, sum(x)::BIGINT AS n_exact, sum(n)::BIGINT AS n_pairs FROM g GROUP BY split, source",
