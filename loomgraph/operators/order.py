@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import digest
 
-#: leading hex digits of the digest that make a bucket; 16 ** DIGITS counts are all that is ranked globally
-DIGITS = 3
+#: buckets for each shuffle partition of the session: enough to even out, few enough to rank globally
+BUCKETS = 16
 
 
-def hash_positions(df: DataFrame, seed: int | str, keys: list[str], name: str = "pos", major: Column | None = None, digits: int = DIGITS, total: str | None = None) -> DataFrame:
+def bucket_digits(df: DataFrame) -> int:
+    """Leading hex digits of the digest that make a bucket: 3 (4,096 buckets) or more, as the session has partitions."""
+    buckets, digits = BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3
+    while 16**digits < buckets:
+        digits += 1
+    return digits
+
+
+def hash_positions(df: DataFrame, seed: int | str, keys: list[str], name: str = "pos", major: Column | None = None, digits: int | None = None, total: str | None = None) -> DataFrame:
     """Append `name`: the place, from 0, of each row ordered by `major`, then by the digest of seed and keys, then by keys.
 
-    Rows are numbered within buckets of equal leading digits; the bucket sizes, a bounded table, give the offsets.
+    Rows are numbered within buckets of equal leading digits; the bucket sizes, a bounded table, give the offsets. The
+    result doesn't depend on the number of digits.
     `major` must be a small integer (null: 0). `total` names a further column for the number of all rows.
     """
+    digits = digits or bucket_digits(df)
     d = df.withColumn("_digest", digest(seed, *keys)).withColumn("_major", F.coalesce(major.cast("int"), F.lit(0)) if major is not None else F.lit(0))
     d = d.withColumn("_bucket", F.substring("_digest", 1, digits))
     sizes = d.groupBy("_major", "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -64,8 +64,9 @@ def test_split_sizes_and_tail(spark):
 
 
 def test_positions_are_dense(spark):
-    got = hash_positions(spark.range(5000), 1, ["id"]).collect()
-    assert sorted(r.pos for r in got) == list(range(5000))
+    got = {r.id: r.pos for r in hash_positions(spark.range(5000), 1, ["id"]).collect()}
+    assert sorted(got.values()) == list(range(5000))
+    assert got == {r.id: r.pos for r in hash_positions(spark.range(5000), 1, ["id"], digits=1).collect()}
 
 
 def test_unknown_label_raises(spark):
@@ -239,3 +240,18 @@ def test_facade(spark):
     assert Graph.report(out, ["MRR", "HITS@3"]).first().n == 5
     assert g.degrees().agg(F.sum("degree")).first()[0] == 154
     assert optim.fans((3, 4)) == (3, 4) and optim.fans((5,)) == (5, 5) and optim.fans(()) == (1, 1)
+
+
+def test_orphan_stream(spark, tmp_path):
+    from loomgraph.streaming import updates
+
+    schema = "kind string, parent string, label string, delta bigint"
+    p = str(tmp_path / "s")
+    batches = ([("reference", "p", "a", None), ("reference", "p", "a", None), ("parent", "p", "b", 1)], [("parent", "p", "a", 1), ("reference", "p", "b", None)], [("parent", "p", "b", -1)])
+    want = [{("a", 0, 2), ("b", 1, 0)}, {("a", 1, 2), ("b", 1, 1)}, {("a", 1, 2), ("b", 0, 1)}]
+    for rows, state in zip(batches, want):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{p}/in")
+        q = updates.orphans_of_stream(spark.readStream.schema(schema).parquet(f"{p}/in"), p)
+        q.processAllAvailable()
+        q.stop()
+        assert {(r.label, r.live, r.n_refs) for r in updates.current(spark, p).collect()} == state
