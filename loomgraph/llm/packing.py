@@ -134,9 +134,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int =
     Documents are spread by a hash of doc_id and of their place in the task that read them over groups of about
     `group_docs`, as many as the corpus needs, also if many share an id; each group is packed by itself, so no task
     holds more than a group, and only the last containers of a group stay open.
+
     A container holds two texts of a duplicate cluster (equal but for case and white space) only if a group has more
-    copies than it has containers, give or take SLACK; of equally tight containers one without the text's source is taken. With part_sources equal sources conflict as well, which with few
-    sources leaves much space unused.
+    copies than it has containers, give or take SLACK; of equally tight containers one without the text's source is
+    taken. With part_sources equal sources conflict as well, which with few sources leaves much space unused.
 
     Texts above the capacity are divided at multiples of it. Null and empty texts have no tokens and come out with
     piece 0 and a null container. A null source is a source of its own. Equal doc_ids are packed as separate items.
