@@ -103,16 +103,22 @@ def with_self(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def gat(nodes: DataFrame, pairs: DataFrame, heads: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], slope: float = 0.2, average: bool = True) -> DataFrame:
-    """(id, vec): per head (W, a_l, a_r), the neighbours' and the node's own W h, weighted by softmax of LeakyReLU(a_l W h_i + a_r W h_j); heads are averaged or put side by side."""
+    """(id, vec): per head (W, a_l, a_r), the neighbours' and the node's own W h, weighted by softmax of LeakyReLU(a_l W h_i + a_r W h_j); heads are averaged or put side by side.
+
+    LeakyReLU is monotone, so the greatest logit of a center follows from its neighbours' greatest right part, one
+    number; the vectors are joined once, and weights and weighted vectors are summed together.
+    """
     out = heads[0][0].shape[0]
     parts = []
     links = with_self(nodes, pairs)
+    leaky = lambda x: F.when(x > 0, x).otherwise(x * slope)
     for k, (w, left, right) in enumerate(heads):
-        h = nodes.select("id", product(w, "vec").alias("h")).select("id", "h", product(left[None], "h")[0].alias("l"), product(right[None], "h")[0].alias("r"))
-        pair = links.join(h.select(F.col("id").alias("center"), "l"), "center").join(h.select(F.col("id").alias("nbr"), "h", "r"), "nbr")
-        x = F.col("l") + F.col("r")
-        weighted = attention_softmax(pair.withColumn("logit", F.when(x > 0, x).otherwise(x * slope))).select("center", V.scale(F.col("h"), F.col("alpha")).alias("h"))
-        parts.append(weighted.groupBy("center").agg(V.sum_of_vectors("h", out).alias(f"h{k}")))
+        h = nodes.select("id", product(w, "vec").alias("h")).select("id", "h", product(np.stack([left, right]), "h").alias("lr")).select("id", "h", F.col("lr")[0].alias("l"), F.col("lr")[1].alias("r"))
+        top = links.join(h.select(F.col("id").alias("nbr"), "r"), "nbr").groupBy("center").agg(F.max("r").alias("top")).join(h.select(F.col("id").alias("center"), "l"), "center")
+        pair = links.join(top, "center").join(h.select(F.col("id").alias("nbr"), "h", "r"), "nbr")
+        e = pair.withColumn("e", F.exp(leaky(F.col("l") + F.col("r")) - leaky(F.col("l") + F.col("top")))).select("center", "e", V.scale(F.col("h"), F.col("e")).alias("h"))
+        sums = e.groupBy("center").agg(V.sum_of_vectors("h", out).alias("h"), F.sum("e").alias("e"))
+        parts.append(sums.select("center", V.scale(F.col("h"), 1.0 / F.col("e")).alias(f"h{k}")))
     joined = parts[0]
     for p in parts[1:]:
         joined = joined.join(p, "center")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import digest, draw, unit
+from loomgraph.session import sent_if_small, written
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,8 @@ def _with_replacement(found: DataFrame, n: int, seed: int) -> DataFrame:
 def layered(roots: DataFrame, edges: DataFrame, hops: Sequence[Hop], incoming: bool = True, outgoing: bool = True, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(hop, node) and (hop, center, nbr, rel, edge_id, incoming) of a multi-hop neighbourhood; roots (node) are hop 0.
 
-    A hop samples around the nodes that the one before found new, so each node is expanded once.
+    A hop samples around the nodes that the one before found new, so each node is expanded once. The links and
+    new nodes of all hops but the last are written to the shared folder; otherwise a hop would repeat all before it.
     """
     frontier = roots.select("node").distinct()
     nodes, links = frontier.withColumn("hop", F.lit(0)), None
@@ -80,8 +82,10 @@ def layered(roots: DataFrame, edges: DataFrame, hops: Sequence[Hop], incoming: b
             part = sampled(neighbours(frontier, edges, w), hop, seed + 10 * i + w)
             found = part if found is None else found.unionByName(part)
         found = found.withColumn("hop", F.lit(i))
+        keep = (lambda df, name: written(df, f"{name}-{i}")) if i < len(hops) else (lambda df, name: df)  # noqa: B023
+        found = keep(found, "hop")
         links = found if links is None else links.unionByName(found)
-        frontier = found.select(F.col("nbr").alias("node")).distinct().join(nodes, "node", "left_anti")
+        frontier = keep(found.select(F.col("nbr").alias("node")).distinct().join(nodes, "node", "left_anti"), "frontier")
         nodes = nodes.unionByName(frontier.withColumn("hop", F.lit(i)))
     return nodes, links
 
@@ -121,7 +125,7 @@ def mixed_negatives(spark: SparkSession, placed: DataFrame, n_edges: int, n_node
 
 def local_matches(chunked: DataFrame, negatives: DataFrame, known: DataFrame) -> DataFrame:
     """(edge_id, neg_id): negatives that make an edge with dst replaced equal to one in known (src, rel, dst)."""
-    candidates = chunked.join(negatives, "chunk_id").select("edge_id", "neg_id", "src", "rel", F.col("node").alias("dst"))
+    candidates = chunked.join(sent_if_small(negatives, 32), "chunk_id").select("edge_id", "neg_id", "src", "rel", F.col("node").alias("dst"))
     return candidates.join(known.select("src", "rel", "dst").distinct(), ["src", "rel", "dst"], "left_semi").select("edge_id", "neg_id")
 
 

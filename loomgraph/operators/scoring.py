@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors as V
+from loomgraph.session import BROADCAST_BYTES, sent_if_small
 
 MASKED = -1e9  # fixed value: score of a negative that is a known edge
-#: all vectors of a node table up to this size are sent to every worker; a larger table is visited in blocks
-BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_NODES = 4096
+#: a node table beyond BROADCAST_BYTES is visited in blocks of so many nodes, a large relation table likewise
+BLOCK_NODES, BLOCK_RELS = 4096, 1024
+#: bytes of a row with a vector, for the decision what to send to every worker
+VECTOR_ROW = 1024
 
 #: relation operator and comparator by decoder; TransE's distance is negated, so a larger score is a better one
 DECODERS = {
@@ -45,18 +47,27 @@ def inverse_scores(edges: DataFrame, nodes: DataFrame, inverse_rels: DataFrame,
 
 
 def chunk_scores(chunked: DataFrame, negatives: DataFrame, nodes: DataFrame, rels: DataFrame, decoder: str) -> DataFrame:
-    """(edge_id, neg_id, node, score): each edge against the negatives of its chunk as dst."""
+    """(edge_id, neg_id, node, score): each edge against the negatives of its chunk as dst.
+
+    Chunks are few, so edges aren't shuffled by them: the negatives go to every worker if they are no more than that allows.
+    """
     each = gathered(chunked, nodes, rels).select("edge_id", "chunk_id", "vs", "vr")
     negs = negatives.join(nodes.select(F.col("id").alias("node"), F.col("vec").alias("vn")), "node").select("chunk_id", "neg_id", "node", "vn")
-    return each.join(negs, "chunk_id").select("edge_id", "neg_id", "node", DECODERS[decoder](F.col("vs"), F.col("vr"), F.col("vn")).alias("score"))
+    return each.join(sent_if_small(negs, VECTOR_ROW, negatives), "chunk_id").select("edge_id", "neg_id", "node", DECODERS[decoder](F.col("vs"), F.col("vr"), F.col("vn")).alias("score"))
 
 
 def relation_scores(edges: DataFrame, nodes: DataFrame, rels: DataFrame, decoder: str) -> DataFrame:
-    """(edge_id, rel, score): each edge under every relation; their vectors travel with the edges as one array."""
-    all_rels = rels.agg(F.array_sort(F.collect_list(F.struct("rel", "vec"))).alias("rels"))  # the relation table, as one row
+    """(edge_id, rel, score): each edge under every relation. A small relation table goes to every worker as one array; of a larger one each edge visits all blocks."""
     side = lambda c, v: nodes.select(F.col("id").alias(c), F.col("vec").alias(v))
-    both = edges.drop("rel").join(side("src", "vs"), "src").join(side("dst", "vd"), "dst").join(F.broadcast(all_rels))
-    return both.select("edge_id", "vs", "vd", F.explode("rels").alias("r")).select("edge_id", "r.rel", DECODERS[decoder](F.col("vs"), F.col("r.vec"), F.col("vd")).alias("score"))
+    both = edges.drop("rel").join(side("src", "vs"), "src").join(side("dst", "vd"), "dst").select("edge_id", "vs", "vd")
+    n = rels.count()
+    blocks = 1 if n * VECTOR_ROW <= BROADCAST_BYTES else -(-n // BLOCK_RELS)
+    by_block = rels.groupBy(F.pmod(F.xxhash64("rel"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("rel", "vec")).alias("rels"))
+    if blocks == 1:
+        visits = both.join(F.broadcast(by_block))
+    else:
+        visits = both.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(by_block, "block")
+    return visits.select("edge_id", "vs", "vd", F.explode("rels").alias("r")).select("edge_id", "r.rel", DECODERS[decoder](F.col("vs"), F.col("r.vec"), F.col("vd")).alias("score"))
 
 
 def masked(scores: DataFrame, matches: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, driver_memory: str = "12g") -> SparkSession:
@@ -75,3 +76,13 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     if wanted:
         raise ValueError(f"no such column: {', '.join(sorted(wanted))}")
     return df.toDF(*names).select(*columns)
+
+
+#: a table is sent to every worker only if it is known to be no larger than this
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def sent_if_small(df: DataFrame, row_bytes: int, counted: DataFrame | None = None) -> DataFrame:
+    """df, marked for broadcast if its rows (or those of `counted`, which is cheaper and has as many) are few enough; otherwise the planner joins it as it sees fit."""
+    n = (df if counted is None else counted).count()
+    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
