@@ -33,8 +33,10 @@ _MARKS = frozenset(",.!?;:|/-—…♪♫#()[]*\"'。，？！>«»¿¡")
 
 #: nats per symbol: lines of prose lie between these
 LOW, HIGH = 0.35, 2.3
-#: a page is reported above this share of its words; its prose weighs in on the line before and after by NEAR
+#: a page is reported above this share of its words; a line's neighbours weigh in on it by NEAR
 SHARE, NEAR = 0.5, 0.5
+#: words of prose that each page is taken to have besides its own: the perplexity of a few words says little
+PRIOR = 8
 #: size of the model, and lines a worker remembers the score of
 MAX_TRIGRAMS, REMEMBERED = 200_000, 200_000
 
@@ -44,7 +46,7 @@ _TIMES = re.compile(rf"{_TIME}\s*-->\s*{_TIME}\s*").fullmatch
 _MARKUP = re.compile(r"</?[biusv](?:\s[^>]*)?>|</?font[^>]*>|</?c[.\w]*>|\{\\[^}]*\}")
 _ENDS = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+(?=[A-ZÀ-ÞА-ЯЁ¿¡«\"(\[♪♫*-])|(?<=[。？！])")
 _LINK = r"(?P<URL>(?:h[tx]{2}ps?://|www\.)\S+|<a\s[^>]*>|[a-z0-9][a-z0-9-]*(?:\.|\s?\(\.\)\s?|\s?\[dot\]\s?)[a-z]{2,}\b(?:/\S*)?)|(?P<HASH>#[^\W_]\w*)|"
-_PLAIN = r"(?P<PRICE>[$€£]\s?\d[\d.,]*|\d[\d.,]*\s?[$€£])|(?P<word>(?:[^\W_㐀-鿿]|\ufffd)+)|(?P<mark>[^\w\s])|(?P<han>[㐀-鿿])|(?P<gap>(?<=[㐀-鿿])\s+(?=[㐀-鿿]))"
+_PLAIN = r"(?P<PRICE>[$€£]\s?\d[\d.,]*|\d[\d.,]*\s?[$€£])|(?P<word>(?:[^\W_㐀-鿿]|\ufffd)+)|(?P<mark>[^\w\s])|(?P<han>[㐀-鿿]+)|(?P<gap>(?<=[㐀-鿿])\s+(?=[㐀-鿿]))"
 _TOKENS, _LINKED_TOKENS = re.compile(_PLAIN).finditer, re.compile(_LINK + _PLAIN).finditer
 _MAY_LINK = re.compile(r"://|www\.|<a\s|#|\(\.\)|\[dot\]|[a-z0-9]\.[a-z]").search
 _RUNS = re.compile(r"\w+").findall
@@ -110,8 +112,13 @@ def symbols(line: str) -> tuple[list[str], float, float]:
         if kind == "mark":
             out.append(x if x in _MARKS else "P")
         elif kind == "han":
-            words += 0.5
-            out.append(x if x in _HAN else "HAN")
+            words += 0.5 * len(x)
+            if x in seen:
+                out.append("REP")
+            else:
+                out += [c if c in _HAN else "HAN" for c in x]
+                if len(x) > 1:
+                    seen.add(x)
         elif kind == "gap":
             out.append("GAP")
         elif kind != "word":
@@ -336,5 +343,6 @@ def page_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", low: f
     )
 
 
-def keyword_pages(scores: DataFrame, share: float = SHARE) -> DataFrame:
-    return scores.filter(F.col("keyword_words") > F.lit(share) * F.col("words"))
+def keyword_pages(scores: DataFrame, share: float = SHARE, prior: float = PRIOR) -> DataFrame:
+    """Of the result of page_scores, the pages with more than `share` of their words, and of `prior` further ones, in keyword lines."""
+    return scores.filter(F.col("keyword_words") > F.lit(share) * (F.col("words") + F.lit(prior)))
