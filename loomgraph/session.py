@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -49,15 +50,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once per context, so that they need not have it installed."""
+    """Hand this package to the Python workers by way of the shared folder, once per context, so that they need not have it installed."""
     context, root = spark.sparkContext, Path(__file__).resolve().parent
     if getattr(context, "_loomgraph_shipped", False) or not root.is_dir():
         return
-    path = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"  # Spark's file server hands it on
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
-    context.addPyFile(str(path))
+    name = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(name)
     context._loomgraph_shipped = True
 
 
