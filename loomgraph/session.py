@@ -92,3 +92,9 @@ def sent_if_small(df: DataFrame, row_bytes: int, counted: DataFrame | None = Non
     """df, marked for broadcast if its rows (or those of `counted`, which is cheaper and has as many) are few enough; otherwise the planner joins it as it sees fit."""
     n = (df if counted is None else counted).count()
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many tasks as the session has cores, if its files give fewer; any larger table stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
