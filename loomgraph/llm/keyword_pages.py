@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import only
+from loomgraph.session import only, spread
 
 # fixed values: function words of six languages
 FUNCTION_WORDS = {
@@ -233,7 +233,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prose_counts(docs: DataFrame, text: str = "text", most: int = MAX_TRIGRAMS) -> DataFrame:
     """(a, b, c, n): trigrams of symbols in all documents that read like prose; the `most` frequent make up the model."""
-    counted = only(docs, text).mapInArrow(_trigrams, "a string, b string, c string, n bigint")
+    counted = spread(only(docs, text)).mapInArrow(_trigrams, "a string, b string, c string, n bigint")
     return counted.groupBy("a", "b", "c").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "a", "b", "c").limit(most)
 
 
@@ -338,7 +338,7 @@ def page_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", low: f
     """
     trigrams = [tuple(r) for r in prose_counts(docs, text).collect()]
     shared = docs.sparkSession.sparkContext.broadcast(trigrams)
-    return only(docs, key, text).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    return spread(only(docs, key, text)).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _scorer(shared, low, high), "doc_id bigint, cost double, keyword_words double, words double"
     )
 

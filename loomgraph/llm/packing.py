@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.tokenizer import VOCABULARY, with_token_counts
-from loomgraph.session import only
+from loomgraph.session import only, spread
 
 CAPACITY = 2048
 #: documents packed together: large enough that the last containers of a group weigh little, small enough for one task
@@ -144,6 +144,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int =
     """
     n_groups = max(1, -(-docs.count() // group_docs))
     flat = F.regexp_replace(F.lower("text"), r"\s+", " ")
-    items = only(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.xxhash64(flat).alias("cluster"), "text")
+    items = spread(only(docs, "doc_id", "source", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.xxhash64(flat).alias("cluster"), "text")
     counted = with_token_counts(items, vocabulary).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "place"), F.lit(n_groups))).drop("place")
     return counted.groupBy("pack_group").applyInArrow(_pack_group(capacity, part_sources), PACKED)

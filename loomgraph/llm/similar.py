@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.session import only, written
+from loomgraph.session import only, spread, written
 
 DIM, TREES, BITS = 64, 16, 64
 #: places that a vector ascends to either side in each tree, and rows of a tree in one task
@@ -52,7 +52,7 @@ def _usable(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
 
 def usable_vectors(df: DataFrame, key: str = "node_id", vector: str = "embedding", dim: int = DIM) -> DataFrame:
     """(node_id, cls, vec): rows with exactly `dim` finite components that are not all zero; vec as floats, cls hashes the direction."""
-    return only(df, key, vector).select(F.col(key).cast("bigint").alias("node_id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(lambda b: _usable(b, dim), "node_id bigint, cls binary, vec binary")
+    return spread(only(df, key, vector)).select(F.col(key).cast("bigint").alias("node_id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(lambda b: _usable(b, dim), "node_id bigint, cls binary, vec binary")
 
 
 def _floats(column: pa.Array, dim: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.labels import normal_form
-from loomgraph.session import only
+from loomgraph.session import only, spread
 
 #: terms in a leaf before it bursts; terms in a worker's tries before they are handed on; rows counted at a time
 BURST, FLUSH, ROWS = 256, 400_000, 262_144
@@ -164,7 +164,7 @@ def term_counts(df: DataFrame, fields: dict[str, tuple[str, ...]] = FIELDS, burs
     Absent labels are no terms. An empty table gives no rows; other columns are not read.
     """
     columns = list(dict.fromkeys(c for cs in fields.values() for c in cs))
-    labels = only(df, *columns).select(*[normal_form(F.col(c)).alias(c) for c in columns])
+    labels = spread(only(df, *columns)).select(*[normal_form(F.col(c)).alias(c) for c in columns])
     leaves = labels.mapInArrow(_counter(fields, burst, flush), COUNTED)
     return leaves.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 

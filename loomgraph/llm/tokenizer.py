@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import only
+from loomgraph.session import only, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: how this vocabulary splits a text into words
@@ -152,9 +152,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     """(doc_id, ids) of every row, ids in order and without special tokens.
 
     Null and empty texts give an empty list; blank ones the ids of their white space. The strings of special tokens are
-    ordinary text. Repeated keys give a row each. No shuffle takes place, and long texts are encoded whole.
+    ordinary text. Repeated keys give a row each. Long texts are encoded whole. A table of fewer
+    tasks than cores is spread out first; otherwise no shuffle takes place.
     """
-    return only(docs, key, text).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoder(share(docs, vocabulary)), "doc_id bigint, ids array<int>")
+    return spread(only(docs, key, text)).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoder(share(docs, vocabulary)), "doc_id bigint, ids array<int>")
 
 
 def _counter(vocabulary: _Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
