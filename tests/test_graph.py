@@ -255,3 +255,30 @@ def test_orphan_stream(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert {(r.label, r.live, r.n_refs) for r in updates.current(spark, p).collect()} == state
+
+
+def test_relations_in_blocks_equal_broadcast(spark, monkeypatch):
+    from loomgraph import session
+
+    nodes = spark.createDataFrame(list(enumerate(VECS)), "id bigint, vec array<double>")
+    rels = spark.createDataFrame([(k, [float(k), 1.0 - k]) for k in range(7)], "rel bigint, vec array<double>")
+    e = spark.createDataFrame([(i, i % 4, i % 2, (i * 3 + 1) % 4, i % 2) for i in range(8)], "edge_id bigint, src bigint, rel bigint, dst bigint, chunk_id bigint")
+    negs = sampling.uniform_negatives(spark, 2, 3, 4, 5)
+
+    def both():
+        return sorted(map(tuple, scoring.relation_scores(e, nodes, rels, "distmult").collect())), sorted(map(tuple, scoring.chunk_scores(e, negs, nodes, rels, "complex").collect()))
+
+    a = both()
+    assert len(a[0]) == 56 and len(a[1]) == 24
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(scoring, "BLOCK_RELS", 3)
+    assert both() == a
+
+
+def test_spread_only_small_tables(spark):
+    from loomgraph.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == cores
+    assert spread(spark.range(0, 10, 1, cores + 3)).rdd.getNumPartitions() == cores + 3
