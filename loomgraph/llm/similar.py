@@ -4,6 +4,10 @@ Each tree gives a vector a long hash string, a bit per random hyperplane, and ke
 neighbours of a vector in that order are those that share its longest prefixes, so a vector descends as deep as its
 surroundings are dense; walking away from it ascends to shorter prefixes. All trees ascend in step, down to the level
 that some tens of vectors share. A sketch of further hash bits sorts out far candidates; those left are compared exactly.
+
+Where prefixes of that level are overfull, thousands of vectors lie in a narrow cone, and which of them are nearest no
+hash tells. There a ball is laid around the middle of the prefix's vectors, and its rows are compared with all rows that
+can be near enough, block by block.
 """
 
 from __future__ import annotations
@@ -21,10 +25,14 @@ from pyspark.sql import functions as F
 from loomgraph.session import only, spread, written
 
 DIM, TREES, BITS = 64, 16, 64
-#: places that a vector ascends to either side in each tree, and rows of a tree in one task
-REACH, TASK_ROWS = 12, 200_000
+#: places that a vector ascends to either side in each tree, vectors that usually share the last level, and rows of a tree in one task
+REACH, SHARED, TASK_ROWS = 48, 48, 200_000
 SKETCH_BITS = 16  # of each tree, from the far end of its hash string
 SEED = 20_240_501
+#: trees and bits that overfull prefixes are sought in; vectors of one are OVERFULL times as many as usual, and FEWEST at least
+SOUGHT_TREES, SOUGHT_BITS, OVERFULL, FEWEST = 4, 14, 2, 96
+#: rows that a ball's blocks have at least and at most, and into how many it is divided in between
+BLOCK_ROWS, MOST_BLOCK_ROWS, BLOCKS = 8192, 131_072, 6
 
 
 def _planes(dim: int) -> np.ndarray:
@@ -107,6 +115,177 @@ def _ascended(batches: Iterator[pa.RecordBatch], reach: int, level: int, most_ap
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
 
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    v = _floats(column, dim).astype(np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _prefixes(v: np.ndarray, planes: np.ndarray, level: int) -> np.ndarray:
+    """A number for each vector (row) and tree sought in: the tree and the first `level` bits."""
+    bits = ((v @ planes) > 0).reshape(len(v), SOUGHT_TREES, level)
+    return bits @ (1 << np.arange(level, dtype=np.int64)) + (np.arange(SOUGHT_TREES) << level)
+
+
+def _sought_planes(dim: int, level: int) -> np.ndarray:
+    return np.ascontiguousarray(_planes(dim).reshape(dim, TREES, BITS)[:, :SOUGHT_TREES, :level]).reshape(dim, -1)
+
+
+def _prefix_counts(batches: Iterator[pa.RecordBatch], dim: int, level: int) -> Iterator[pa.RecordBatch]:
+    planes, n = _sought_planes(dim, level), np.zeros(SOUGHT_TREES << level, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            n += np.bincount(_prefixes(_unit(batch.column(1), dim), planes, level).ravel(), minlength=len(n))
+    held = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], names=["prefix", "n"])
+
+
+def _prefix_sums(batches: Iterator[pa.RecordBatch], dim: int, level: int, overfull: np.ndarray) -> Iterator[pa.RecordBatch]:
+    planes, sums = _sought_planes(dim, level), np.zeros((len(overfull), dim))
+    for batch in batches:
+        if batch.num_rows:
+            v = _unit(batch.column(1), dim)
+            for prefix in _prefixes(v, planes, level).T:
+                at = np.searchsorted(overfull, prefix)
+                of = np.flatnonzero(overfull[np.minimum(at, len(overfull) - 1)] == prefix)
+                np.add.at(sums, at[of], v[of])
+    yield pa.RecordBatch.from_arrays([pa.array(overfull), pa.array(list(sums), pa.list_(pa.float64()))], names=["prefix", "total"])
+
+
+def _middles(kept: DataFrame, n: int, dim: int, level: int, apart: float) -> np.ndarray:
+    """Unit vectors (rows) amid the vectors of overfull prefixes, fullest first, none within the angle `apart` of another."""
+    level = min(level, SOUGHT_BITS)
+    vectors = kept.select("node_id", "vec")
+    counts = vectors.mapInArrow(lambda b: _prefix_counts(b, dim, level), "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
+    full = {r.prefix: r.n for r in counts.filter(F.col("n") >= max(FEWEST, OVERFULL * n / 2**level)).collect()}
+    found = np.zeros((0, dim))
+    if not full:
+        return found
+    overfull = np.array(sorted(full))
+    sums = vectors.mapInArrow(lambda b: _prefix_sums(b, dim, level, overfull), "prefix bigint, total array<double>").groupBy("prefix").agg(*(F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(dim)))
+    for r in sorted(sums.collect(), key=lambda r: (-full[r[0]], r[0])):
+        middle = np.array(r[1:])
+        if (length := np.linalg.norm(middle)) and (found @ (middle / length) < math.cos(apart)).all():
+            found = np.vstack([found, middle / length])
+    return found
+
+
+def _balls(batches: Iterator[pa.RecordBatch], dim: int, middles: np.ndarray, apart: float) -> Iterator[pa.RecordBatch]:
+    """(node_id, vec, ball, home): a row within `apart` of a middle is at home in the nearest one's ball, and a guest in any other whose rows at home can be within `apart` of it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            cos = _unit(part.column(1), dim) @ middles.T
+            near = cos >= math.cos(min(math.pi, 2 * apart)) - 1e-9
+            best = cos.argmax(1)
+            inside = cos[np.arange(len(cos)), best] >= math.cos(apart)
+            row, ball = np.nonzero(near)
+            if len(row):
+                taken = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ball.astype(np.int32)), pa.array(inside[row] & (best[row] == ball))], names=["node_id", "vec", "ball", "home"])
+
+
+class _Nearest:
+    """The k nearest of each row of a block, among rows that come by ascending id."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int, least: float):
+        self.ids, self.v, self.v32, self.k = ids, v, v.astype(np.float32), k
+        self.near, self.cos = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), least - 1e-6)
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        at, step = 0, 64  # few at first, as the first ones pass unless they are below `least`
+        while at < len(ids):
+            self._add(ids[at : at + step], v[at : at + step])
+            at, step = at + step, min(2 * step, 1024)
+
+    def _add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        v32 = v.astype(np.float32)
+        for lo in range(0, len(self.ids), 2048):
+            hi = lo + 2048
+            # a later id must be better by 1e-6, and no cosine is above 1; floats are off by less than 5e-7
+            worst = self.cos[lo:hi, -1]
+            least = np.where(worst >= 1 - 1e-9, 2, worst).astype(np.float32)
+            x, y = np.nonzero(self.v32[lo:hi] @ v32.T >= least[:, None])
+            x += lo
+            other = self.ids[x] != ids[y]
+            x, y = x[other], y[other]
+            if not len(x):
+                continue
+            cos = np.round(np.einsum("ij,ij->i", self.v[x], v[y]), 6)
+            rows = np.unique(x)
+            r = np.concatenate([np.repeat(rows, self.k), x])
+            c, i = np.concatenate([self.cos[rows].ravel(), cos]), np.concatenate([self.near[rows].ravel(), ids[y]])
+            order = np.lexsort((i, -c, r))
+            r, c, i = r[order], c[order], i[order]
+            first = np.searchsorted(r, rows)
+            take = first[:, None] + np.arange(self.k)
+            self.cos[rows], self.near[rows] = c[take], i[take]
+
+    def result(self, least: float) -> pa.RecordBatch:
+        x, at = np.nonzero((self.near >= 0) & (self.cos >= least))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[x]), pa.array(self.near[x, at]), pa.array(self.cos[x, at])], names=["x", "y", "similarity"])
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], dim: int, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows by (ball, block, role, node_id): those of role 0 are the block's own, and are compared with those of role 1."""
+    key, ids, own, nearest = None, [], [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(c)) for c in (0, 1, 2)], 1).astype(np.int64)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if key != (now := tuple(keys[lo, :2])):
+                if nearest:
+                    yield nearest.result(least)
+                key, ids, own, nearest = now, [], [], None
+            part = batch.slice(lo, hi - lo)
+            i, v = np.asarray(part.column(3)), _unit(part.column(4), dim)
+            if keys[lo, 2] == 0:
+                ids.append(i)
+                own.append(v)
+                continue
+            if nearest is None:
+                nearest = _Nearest(np.concatenate(ids or [i[:0]]), np.concatenate(own or [v[:0]]), k, least)
+            nearest.add(i, v)
+    if nearest:
+        yield nearest.result(least)
+
+
+def _dense(kept: DataFrame, n: int, k: int, least: float, dim: int, level: int) -> DataFrame | None:
+    """(x, y, similarity): the k nearest y of each x where x or y lies in a dense ball; None if there is none.
+
+    Rows at home are compared with all rows that can be as near as `least`, so these are all pairs that count.
+    """
+    apart = math.acos(least)
+    middles = _middles(kept, n, dim, level, apart)
+    if not len(middles):
+        return None
+    vectors = kept.select("node_id", "vec")
+    laid = lambda m: vectors.mapInArrow(lambda b: _balls(b, dim, m, apart), "node_id bigint, vec binary, ball int, home boolean")
+    homes = {r.ball for r in laid(middles).filter("home").groupBy("ball").count().filter(F.col("count") >= FEWEST).collect()}
+    if not homes:
+        return None
+    balls = laid(middles[sorted(homes)])
+    sizes: dict[int, list[int]] = {}
+    for r in balls.groupBy("ball", "home").count().collect():
+        sizes.setdefault(r.ball, [0, 0])[0 if r.home else 1] = r["count"]
+    blocks = lambda m: max(min(BLOCKS, -(-m // BLOCK_ROWS)), -(-m // MOST_BLOCK_ROWS))
+    plan = [(ball, blocks(h), blocks(g)) for ball, (h, g) in sizes.items()]
+    counts = kept.sparkSession.createDataFrame(plan, "ball int, own int, visiting int")
+    placed = balls.join(F.broadcast(counts), "ball")
+    by = lambda at, blocks: F.pmod(F.xxhash64("node_id"), blocks).cast("int") + at
+    block, role = lambda i: F.array(F.struct(i.alias("block"), F.lit(0).alias("role"))), lambda i: F.struct(i.alias("block"), F.lit(1).alias("role"))
+    until = lambda at, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: role(i + at))).otherwise(F.array().cast("array<struct<block:int,role:int>>"))
+    own, visiting = F.col("own"), F.col("visiting")
+    # blocks of rows at home meet all rows, those of guests the rows at home
+    at_home = F.concat(block(by(F.lit(0), own)), until(F.lit(0), own), until(own, visiting))
+    as_guest = F.concat(block(by(own, visiting)), until(F.lit(0), own))
+    rows = placed.select("ball", "node_id", "vec", F.explode(F.when(F.col("home"), at_home).otherwise(as_guest)).alias("p"))
+    tasks = min(sum(h + g for _, h, g in plan), max(200, kept.sparkSession.sparkContext.defaultParallelism))
+    sorted_rows = rows.select("ball", "p.block", "p.role", "node_id", "vec").repartition(tasks, "ball", "block").sortWithinPartitions("ball", "block", "role", "node_id")
+    return sorted_rows.mapInArrow(lambda b: _in_blocks(b, dim, k, least), "x bigint, y bigint, similarity double")
+
+
 def _compared(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -119,7 +298,7 @@ def _compared(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.Record
 def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM, reach: int = REACH, key: str = "node_id", vector: str = "embedding") -> DataFrame:
     """(node_id_a, node_id_b, similarity), a < b: pairs of cosine similarity `least` or more where one is among the k most similar of the other.
 
-    Similarity is computed in double and rounded to 6 decimals; among equals the smaller id comes first. The forest may
+    Of dense balls all pairs that count are compared, which costs the square of a ball's rows. Similarity is computed in double and rounded to 6 decimals; among equals the smaller id comes first. The forest may
     miss pairs (the README has the measured recall) but adds none but those that take a missed one's place. Keys are
     taken as unique.
 
@@ -134,7 +313,7 @@ def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM
     apart = math.acos(least) / math.pi
     sketch_bits = TREES * SKETCH_BITS
     most_apart = math.floor(sketch_bits * apart + 3 * math.sqrt(sketch_bits * apart * (1 - apart)))
-    level = max(0, math.floor(math.log2(max(n, 1) / (4 * reach))))
+    level = max(0, math.floor(math.log2(max(n, 1) / SHARED)))
     trees = kept.select("node_id", "vec").mapInArrow(lambda b: _hashed(b, dim), "tree int, hash bigint, node_id bigint, sketch binary")
     parts = max(1, -(-n * TREES // TASK_ROWS))
     sorted_arrays = trees.repartitionByRange(parts, "tree", "hash", "node_id").sortWithinPartitions("tree", "hash", "node_id")
@@ -148,7 +327,11 @@ def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM
     exact = both.mapInArrow(lambda b: _compared(b, dim), "a bigint, b bigint, similarity double").filter(F.col("similarity") >= least)
     directed = exact.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "similarity")
     order = W.partitionBy("x").orderBy(F.col("similarity").desc(), "y")
-    top = directed.select("p.x", "p.y", "similarity").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+    found = directed.select("p.x", "p.y", "similarity")
+    dense = _dense(kept, n, k, least, dim, level)
+    if dense is not None:
+        found = found.unionByName(dense).groupBy("x", "y").agg(F.max("similarity").alias("similarity"))
+    top = found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
     beyond = _beyond(all_vectors, kept, k)
     return (
         top.select(F.least("x", "y").alias("node_id_a"), F.greatest("x", "y").alias("node_id_b"), "similarity")
