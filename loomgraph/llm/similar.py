@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.session import only, spread, written
+from loomgraph.session import BROADCAST_BYTES, only, spread, written
 
 DIM, TREES, BITS = 64, 16, 64
 #: places that a vector ascends to either side in each tree, vectors that usually share the last level, and rows of a tree in one task
@@ -303,8 +303,8 @@ def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM
     taken as unique.
 
     Vectors that are null, of another length, not finite or all zero are in no pair. Of vectors in one direction only
-    the k + 1 smallest ids enter the forest: no other can be among anyone's k most similar. Those beyond them pair with
-    the k smallest of their direction. So a group of copies costs no more than its rows, however large it is.
+    the k + 1 smallest ids enter the forest: no other can be among anyone's k most similar. Those beyond them are compared
+    with these and with what these have found, as a tie reaches farther than one direction. So a group of copies costs no more than its rows, however large it is.
     """
     all_vectors = usable_vectors(df, key, vector, dim)
     by_class = W.partitionBy("cls").orderBy("node_id")
@@ -331,8 +331,8 @@ def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM
     dense = _dense(kept, n, k, least, dim, level)
     if dense is not None:
         found = found.unionByName(dense).groupBy("x", "y").agg(F.max("similarity").alias("similarity"))
-    top = found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
-    beyond = _beyond(all_vectors, kept, k)
+    top = written(found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k), "nearest")
+    beyond = _beyond(all_vectors, kept, top, k, least, dim)
     return (
         top.select(F.least("x", "y").alias("node_id_a"), F.greatest("x", "y").alias("node_id_b"), "similarity")
         .unionByName(beyond)
@@ -340,14 +340,38 @@ def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM
     )
 
 
-def _beyond(all_vectors: DataFrame, kept: DataFrame, k: int, salts: int = 32) -> DataFrame:
-    """Pairs of vectors that did not enter the forest with the k smallest ids of their direction.
-
-    Full classes are few and small; each is copied to every salt, and the rows of a class are spread over them.
+def _of_late(batches: Iterator[pa.RecordBatch], dim: int, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Each row's k nearest of its candidates."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column(2)
+        sizes, near = np.asarray(lists.value_lengths()), lists.flatten()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        x, y = np.asarray(batch.column(0))[row], np.asarray(near.field(0))
+        cos = np.round(np.einsum("ij,ij->i", _unit(batch.column(1), dim)[row], _unit(near.field(1), dim)), 6)
+        ok = (x != y) & (cos >= least)
+        row, x, y, cos = row[ok], x[ok], y[ok], cos[ok]
+        order = np.lexsort((y, -cos, row))
+        row, x, y, cos = row[order], x[order], y[order], cos[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        x, y, cos = x[first], y[first], cos[first]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(cos)], names=["node_id_a", "node_id_b", "similarity"])
+
+
+def _beyond(all_vectors: DataFrame, kept: DataFrame, top: DataFrame, k: int, least: float, dim: int, per_copy: int = 2000) -> DataFrame:
+    """Pairs of vectors that did not enter the forest with their k nearest.
+
+    What is nearest to such a vector is nearest to one of its direction that did enter, or is one of these: at most
+    (k + 1) ** 2 candidates of a class. They are copied for every `per_copy` rows of it.
     """
-    full = kept.groupBy("cls").agg(F.collect_list(F.struct("rn", "node_id")).alias("m")).filter(F.size("m") == k + 1)  # at most k + 1 of a class
-    heads = full.select("cls", F.transform(F.slice(F.array_sort("m"), 1, k), lambda x: x["node_id"]).alias("first"), F.array_max(F.transform("m", lambda x: x["node_id"])).alias("last"))
-    copies = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = all_vectors.select("node_id", "cls", F.pmod(F.xxhash64("node_id"), F.lit(salts)).cast("int").alias("salt"))
-    late = rows.join(copies, ["cls", "salt"]).filter(F.col("node_id") > F.col("last"))
-    return late.select(F.explode("first").alias("node_id_a"), F.col("node_id").alias("node_id_b"), F.lit(1.0).alias("similarity"))
+    full = kept.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("node_id").alias("last")).filter(F.col("n") == k + 1).select("cls", "last")
+    heads = kept.join(full, "cls").select("cls", "node_id")
+    ids = heads.unionByName(heads.join(top, heads["node_id"] == top["x"]).select("cls", F.col("y").alias("node_id"))).distinct()
+    candidates = ids.join(kept.select("node_id", "vec"), "node_id").groupBy("cls").agg(F.collect_list(F.struct("node_id", "vec")).alias("near"))
+    counts = all_vectors.groupBy("cls").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > k + 1).select("cls", F.ceil(F.col("rows") / per_copy).cast("int").alias("copies"))
+    marks = full.join(counts, "cls")
+    copies = candidates.join(counts, "cls").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("cls", "copy", "near")
+    late = all_vectors.join(F.broadcast(marks) if marks.count() * 40 <= BROADCAST_BYTES else marks, "cls").filter(F.col("node_id") > F.col("last"))
+    rows = late.select("node_id", "vec", "cls", F.pmod(F.xxhash64("node_id"), "copies").cast("int").alias("copy")).join(copies, ["cls", "copy"])
+    return rows.select("node_id", "vec", "near").mapInArrow(lambda b: _of_late(b, dim, k, least), "node_id_a bigint, node_id_b bigint, similarity double")

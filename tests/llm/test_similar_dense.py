@@ -18,3 +18,14 @@ def test_third_are_near_copies(spark):
     want = _best(rows)
     got = {(r.node_id_a, r.node_id_b) for r in similar.similar_pairs(_vectors(spark, rows)).collect()}
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+def test_copies_behind_changed_ones(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(64)
+    changed = base + 2e-4 * rng.standard_normal((20, 64))  # ties at 1.000000, other classes
+    scaled = base * rng.uniform(0.1, 10, (60, 1))
+    v = np.concatenate([changed, scaled, rng.standard_normal((40, 64))])
+    rows = _rows(range(len(v)), v)
+    got = {(r.node_id_a, r.node_id_b) for r in similar.similar_pairs(_vectors(spark, rows)).collect()}
+    assert got == _best(rows)
