@@ -35,8 +35,8 @@ _MARKS = frozenset(",.!?;:|/-—…♪♫#()[]*\"'。，？！>«»¿¡")
 LOW, HIGH = 0.35, 2.3
 #: a page is reported above this share of its words; a line's neighbours weigh in on it by NEAR
 SHARE, NEAR = 0.5, 0.5
-#: words of prose that each page is taken to have besides its own: the perplexity of a few words says little
-PRIOR = 8
+#: words of usual cost that weigh in on each line: the perplexity of a few words says little
+EVEN, USUAL = 1, 1.5
 #: size of the model, and lines a worker remembers the score of
 MAX_TRIGRAMS, REMEMBERED = 200_000, 200_000
 
@@ -299,7 +299,7 @@ def keyword_words(scores: list[tuple[float, float, bool]], low: float = LOW, hig
         total += words
         if spoken:
             continue
-        mass, weight = cost * words, words
+        mass, weight = cost * words + EVEN * USUAL, words + EVEN
         for j in (k - 1, k + 1):
             if 0 <= j < len(scores):
                 c, w, _ = scores[j]
@@ -343,6 +343,6 @@ def page_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", low: f
     )
 
 
-def keyword_pages(scores: DataFrame, share: float = SHARE, prior: float = PRIOR) -> DataFrame:
-    """Of the result of page_scores, the pages with more than `share` of their words, and of `prior` further ones, in keyword lines."""
-    return scores.filter(F.col("keyword_words") > F.lit(share) * (F.col("words") + F.lit(prior)))
+def keyword_pages(scores: DataFrame, share: float = SHARE) -> DataFrame:
+    """Of the result of page_scores, the pages with more than `share` of their words in keyword lines."""
+    return scores.filter(F.col("keyword_words") > F.lit(share) * F.col("words"))
