@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +38,9 @@ LOW, HIGH = 0.35, 2.3
 SHARE, NEAR = 0.5, 0.5
 #: words of usual cost that weigh in on each line: the perplexity of a few words says little
 EVEN, USUAL = 1, 1.5
+#: a list in brackets is a sound or lyric up to so many nats a symbol beyond HIGH; of the readable words of broken lines,
+#: a page needs so many to be judged by them, and this share of function words to be speech
+LEEWAY, READABLE, SPOKEN_SHARE = 0.7, 5, 0.1
 #: size of the model, and lines a worker remembers the score of
 MAX_TRIGRAMS, REMEMBERED = 200_000, 200_000
 
@@ -53,7 +57,10 @@ _RUNS = re.compile(r"\w+").findall
 _LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])").sub
 _TWICE = re.compile("[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ�]{2,}")
 _WESTERN = re.compile("[\xa8\xb8\xc0-\xff]")
-_SUNG = re.compile(r"^\s*(?:-\s*)?(?:[♪♫*(\[]|[#?]\s|[A-ZÀ-ÞА-ЯЁ]{2,}:\s*[♪♫])")
+_SUNG = re.compile(r"^\s*(?:-\s*)?(?:[♪♫]|[#?]\s|[A-ZÀ-ÞА-ЯЁ]{2,}:\s*[♪♫])")
+_OPENED = re.compile(r"^\s*(?:-\s*)?[*(\[]")
+_ENCLOSED = re.compile(r"^\s*(?:-\s*)?(?:\*[^*]+\*|\([^()]+\)|\[[^\[\]]+\])\W*$")
+_LISTED = re.compile(r"[|,;/，]").search
 
 
 def _as_utf8(m: re.Match) -> str:
@@ -272,8 +279,31 @@ class ProseModel:
         return total / (len(s) + 1)
 
 
-def line_scores(model: ProseModel, text: str, remembered: dict) -> list[tuple[float, float, bool]]:
-    """(cost, words, spoken) of each line with words; spoken ones are sung or described, or too broken to be read."""
+class Line(NamedTuple):
+    """cost and words of a line; spoken: sung or described; of a line too broken for the model, its readable words and the function words among them, else None."""
+
+    cost: float
+    words: float
+    spoken: bool
+    readable: tuple[int, int] | None = None
+
+
+def _line(model: ProseModel, line: str, s: list[str], words: float, broken: float) -> Line:
+    if 5 * broken >= words:
+        named = [x for x in s if x.isalpha() and x != "BROKEN"]
+        return Line(model.cost(s), words, False, (len(named), sum(map(_is_function, named))))
+    cost = model.cost(s)
+    if "URL" in s or "HASH" in s:
+        return Line(cost, words, False)
+    if _OPENED.match(line):
+        if _ENCLOSED.match(line) and (cost <= HIGH + LEEWAY or not _LISTED(line)):
+            return Line(cost, words, True)
+        return Line(model.cost([x for x in s if x not in "*()[]"]), words, False)
+    return Line(cost, words, bool(_SUNG.match(line)))
+
+
+def line_scores(model: ProseModel, text: str, remembered: dict) -> list[Line]:
+    """Each line with words."""
     found = []
     for raw in raw_lines(text):
         scores = remembered.get(raw)
@@ -282,8 +312,7 @@ def line_scores(model: ProseModel, text: str, remembered: dict) -> list[tuple[fl
             for line in pieces(raw):
                 s, words, broken = symbols(line)
                 if words and _is_text(s):
-                    linked = "URL" in s or "HASH" in s
-                    scores.append((model.cost(s), words, (not linked and bool(_SUNG.match(line))) or 5 * broken >= words))
+                    scores.append(_line(model, line, s, words, broken))
             if len(raw) <= 200:
                 if len(remembered) >= REMEMBERED:
                     remembered.clear()
@@ -292,17 +321,26 @@ def line_scores(model: ProseModel, text: str, remembered: dict) -> list[tuple[fl
     return found
 
 
-def keyword_words(scores: list[tuple[float, float, bool]], low: float = LOW, high: float = HIGH, near: float = NEAR) -> tuple[float, float]:
-    """Words in keyword lines, and all words. A line is judged with its neighbours, as single short lines vary much."""
+def keyword_words(scores: list[Line], low: float = LOW, high: float = HIGH, near: float = NEAR) -> tuple[float, float]:
+    """Words in keyword lines, and all words. A line is judged with its neighbours, as single short lines vary much.
+
+    Broken lines are judged together: by the function words among what can be read of them.
+    """
     bad = total = 0.0
-    for k, (cost, words, spoken) in enumerate(scores):
+    read = [x.readable for x in scores if x.readable]
+    readable = sum(n for n, _ in read)
+    broken_bad = readable >= READABLE and sum(f for _, f in read) < SPOKEN_SHARE * readable
+    for k, (cost, words, spoken, broken) in enumerate(scores):
         total += words
+        if broken:
+            bad += words * broken_bad
+            continue
         if spoken:
             continue
         mass, weight = cost * words + EVEN * USUAL, words + EVEN
         for j in (k - 1, k + 1):
             if 0 <= j < len(scores):
-                c, w, _ = scores[j]
+                c, w = scores[j][:2]
                 w = near * min(w, words)
                 mass, weight = mass + c * w, weight + w
         if not low <= mass / weight <= high:
@@ -319,7 +357,7 @@ def _scorer(trigrams, low: float, high: float):
                 text = text.as_py()
                 scores = line_scores(model, text, remembered) if text and not text.isspace() else []
                 b, t = keyword_words(scores, low, high)
-                costs.append(sum(c * w for c, w, _ in scores) / t if t else None)
+                costs.append(sum(x.cost * x.words for x in scores) / t if t else None)
                 bad.append(b)
                 total.append(t)
             f = lambda x: pa.array(x, pa.float64())
