@@ -125,6 +125,36 @@ def combined_neighbours(spark, d):
     return both.groupBy("center").agg(F.count(F.lit(1)).alias("n_neighbours"), F.countDistinct("nbr").alias("n_distinct"))
 
 
+def _everyone(spark, d):
+    return table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+
+
+def _khop_whole(spark, d):
+    return sampling.layered(_everyone(spark, d), _graph(spark, d), [Hop("all"), Hop("uniform", 3)], seed=30)
+
+
+def nbrs_all_out_whole(spark, d):
+    return sampling.neighbours(_everyone(spark, d), _graph(spark, d), False).drop("incoming")
+
+
+def khop_frontier_whole(spark, d):
+    return _khop_whole(spark, d)[0]
+
+
+def khop_edges_whole(spark, d):
+    return _khop_whole(spark, d)[1].withColumn("incoming", F.col("incoming").cast("int"))
+
+
+def next_layer_edges_whole(spark, d):
+    return sampling.next_layer(_khop_whole(spark, d)[1], 2, 2).groupBy("center").agg(F.count(F.lit(1)).alias("n_neighbours"))
+
+
+def combined_neighbours_whole(spark, d):
+    e = _graph(spark, d)
+    both = sampling.neighbours(_everyone(spark, d), e, False).unionByName(sampling.neighbours(_parts(spark, d), e, True))
+    return both.groupBy("center").agg(F.count(F.lit(1)).alias("n_neighbours"), F.countDistinct("nbr").alias("n_distinct"))
+
+
 def local_ids(spark, d):
     placed = with_batches(hash_positions(int_edges(spark, d), 14, ["edge_id"]), 1000)
     return sampling.local_ids(placed, ["src", "dst"])
@@ -201,7 +231,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         node_parts, edge_buckets, bucket_grid_with_zeros, bucket_offsets, sort_buckets, induced_subgraph, greedy_bucket_assignment, random_bucket_assignment, active_edges, buffer_swap_diff, buffer_map,
-        nbrs_all_out, nbrs_all_in, nbrs_uniform_k, nbrs_with_replacement, nbrs_dropout, khop_frontier, khop_edges, next_layer_edges, combined_neighbours, local_ids, local_edges,
+        nbrs_all_out, nbrs_all_in, nbrs_uniform_k, nbrs_with_replacement, nbrs_dropout, khop_frontier, khop_edges, next_layer_edges, combined_neighbours, local_ids,
+        nbrs_all_out_whole, khop_frontier_whole, khop_edges_whole, next_layer_edges_whole, combined_neighbours_whole, local_edges,
         negatives_uniform, negatives_degree, negatives_mixed, local_filter, degree_filter, known_edge_filter, negatives_all_filtered, known_edge_antijoin, all_edges,
     )
 }
@@ -276,3 +307,7 @@ SQL = {
     "known_edge_antijoin": f"WITH {TYPED}, s AS (SELECT edge_id, src, CASE rel WHEN 'A' THEN 'N' WHEN 'N' THEN 'R' ELSE 'A' END AS rel, dst FROM e) SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = s.src AND e.rel = s.rel AND e.dst = s.dst)",
     "all_edges": f"WITH {TYPED} SELECT src, 2 * count(*) AS n_edges FROM e GROUP BY src",
 }
+
+# the same over all customers
+for _name in ("nbrs_all_out", "khop_frontier", "khop_edges", "next_layer_edges", "combined_neighbours"):
+    SQL[f"{_name}_whole"] = SQL[_name].replace(" WHERE c_mktsegment = 'BUILDING'", "").replace("'c' || s_suppkey AS node FROM supplier", "'c' || c_custkey AS node FROM customer")
