@@ -1,13 +1,16 @@
 """Most similar vectors of every vector: a forest of hash prefixes.
 
-Each tree gives a vector a long hash string, a bit per random hyperplane, and keeps all vectors sorted by it. The
-neighbours of a vector in that order are those that share its longest prefixes, so a vector descends as deep as its
-surroundings are dense; walking away from it ascends to shorter prefixes. All trees ascend in step, down to the level
-that some tens of vectors share. A sketch of further hash bits sorts out far candidates; those left are compared exactly.
-
-Where prefixes of that level are overfull, thousands of vectors lie in a narrow cone, and which of them are nearest no
-hash tells. There a ball is laid around the middle of the prefix's vectors, and its rows are compared with all rows that
-can be near enough, block by block.
+Each tree gives a vector a long hash string, a bit per random hyperplane, and keeps all vectors sorted by it. A vector
+descends in each tree to its longest prefix that others share, which is as long as its surroundings are dense. From
+there all trees ascend in step, one bit at a time, until the vectors below the prefixes of that length are enough; these
+are its candidates. A sketch of further hash bits sorts out far ones; those left are compared exactly.
+
+A tree is cut at prefixes, longer ones where it is dense, into parts of a bounded number of rows. So no task holds a
+tree, and no candidate is lost at the bounds of a part.
+
+Where prefixes are overfull, thousands of vectors lie in a narrow cone, and which of them are nearest no hash tells.
+There a ball is laid around the middle of the prefix's vectors, and its rows are compared with all rows that can be near
+enough, block by block, instead of entering the forest.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from loomgraph.session import BROADCAST_BYTES, only, spread, written
 
 DIM, TREES, BITS = 64, 16, 64
-#: places that a vector ascends to either side in each tree, vectors that usually share the last level, and rows of a tree in one task
-REACH, SHARED, TASK_ROWS = 48, 48, 200_000
+#: candidates that an ascent ends with, and rows of a part of a tree, unless its hashes are equal to the CUT_BITS-th bit
+WANTED, TASK_ROWS, CUT_BITS = 1024, 200_000, 16
+#: vectors that a prefix of usual length holds, where overfull ones are sought
+SHARED = 48
 SKETCH_BITS = 16  # of each tree, from the far end of its hash string
 SEED = 20_240_501
 #: trees and bits that overfull prefixes are sought in; vectors of one are OVERFULL times as many as usual, and FEWEST at least
@@ -67,52 +72,192 @@ def _floats(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.float32)[column.offset * dim :][: len(column) * dim].reshape(-1, dim)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    planes = _planes(dim)
+def _hashes(v: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each vector (row) in each tree, and its sketch."""
+    bits = np.packbits((v / np.abs(v).max(1, keepdims=True) @ planes) > 0, axis=1).reshape(len(v), TREES, BITS // 8)
+    return np.ascontiguousarray(bits).view(">u8").reshape(len(v), TREES).astype(np.uint64), np.ascontiguousarray(bits[:, :, -SKETCH_BITS // 8 :]).reshape(len(v), -1)
+
+
+def _outside(batch: pa.RecordBatch, dim: int, middles: np.ndarray, apart: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of (node_id, vec, ...) without the rows at home in a ball, and their vectors."""
+    for at in range(0, batch.num_rows, 2000):
+        part = batch.slice(at, 2000)
+        v = _floats(part.column(1), dim)
+        if len(middles):
+            far = np.flatnonzero((_unit(part.column(1), dim) @ middles.T < math.cos(apart)).all(1))
+            part, v = part.take(pa.array(far)), v[far]
+        if len(v):
+            yield part, v
+
+
+class _Cuts:
+    """The parts of all trees: prefixes with at most TASK_ROWS rows whose parent has more, from the counts of rows by the first `bits` bits."""
+
+    def __init__(self, counts: np.ndarray):
+        self.bits = counts.shape[1].bit_length() - 1
+        part, depth = np.zeros(counts.shape, np.int64), np.zeros(counts.shape, np.int64)
+        levels = [counts]
+        while levels[-1].shape[1] > 1:
+            levels.append(levels[-1].reshape(len(counts), -1, 2).sum(2))
+        n, sizes = 0, []
+        for t in range(len(counts)):
+            open_ = [(len(levels) - 1, 0)]
+            while open_:
+                up, at = open_.pop()
+                rows = int(levels[up][t, at])
+                if up and rows > TASK_ROWS:
+                    open_ += [(up - 1, 2 * at + 1), (up - 1, 2 * at)]
+                    continue
+                below = slice(at << up, (at + 1) << up)
+                part[t, below], depth[t, below] = n, self.bits - up
+                sizes.append(rows)
+                n += 1
+        self.part, self.depth = part, depth
+        # parts that are small share a task
+        self.task = (np.cumsum(sizes) - np.array(sizes)) // TASK_ROWS
+        self.tasks = int(self.task[-1]) + 1
+
+    def of(self, tree: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (hashes >> np.uint64(BITS - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
+        return self.part[tree, at], self.depth[tree, at]
+
+
+def _cut_counts(batches: Iterator[pa.RecordBatch], dim: int, bits: int, middles: np.ndarray, apart: float) -> Iterator[pa.RecordBatch]:
+    planes, n = _planes(dim), np.zeros(TREES << bits, np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            v = _floats(part.column(1), dim)
-            v = v / np.abs(v).max(1, keepdims=True)
-            bits = np.packbits((v @ planes) > 0, axis=1).reshape(len(v), TREES, BITS // 8)
-            hashes = np.ascontiguousarray(bits).view(">u8").reshape(len(v), TREES).astype(np.uint64)
-            signed = (hashes ^ np.uint64(1 << 63)).view(np.int64)  # sorts like the bit string
-            far = np.ascontiguousarray(bits[:, :, -SKETCH_BITS // 8 :]).reshape(len(v), -1)
-            sketch = pa.array([x.tobytes() for x in far], pa.binary())
-            for t in range(TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(signed[:, t]), part.column(0), sketch], names=["tree", "hash", "node_id", "sketch"])
+        for _, v in _outside(batch, dim, middles, apart):
+            hashes = _hashes(v, planes)[0]
+            at = (hashes >> np.uint64(BITS - bits)).astype(np.int64) if bits else np.zeros(hashes.shape, np.int64)
+            n += np.bincount((at + (np.arange(TREES) << bits)).ravel(), minlength=len(n))
+    held = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], names=["prefix", "n"])
 
 
-def _ascended(batches: Iterator[pa.RecordBatch], reach: int, level: int, most_apart: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one tree within `reach` places that share at least `level` leading bits and whose sketches are near."""
-    width = TREES * SKETCH_BITS // 64
-    held: tuple[np.ndarray, ...] | None = None
+def _placed(batches: Iterator[pa.RecordBatch], dim: int, cuts: _Cuts, middles: np.ndarray, apart: float) -> Iterator[pa.RecordBatch]:
+    """(task, part, depth, hash, node_id) of each tree, and of rows with a stop that and the sketch too."""
+    planes = _planes(dim)
+    for batch in batches:
+        for rows, v in _outside(batch, dim, middles, apart):
+            hashes, far = _hashes(v, planes)
+            sketch = pa.array([x.tobytes() for x in far], pa.binary()) if rows.num_columns > 2 else None
+            for t in range(TREES):
+                part, depth = cuts.of(t, hashes[:, t])
+                signed = (hashes[:, t] ^ np.uint64(1 << 63)).view(np.int64)  # sorts like the bit string
+                columns = [pa.array(cuts.task[part].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(depth.astype(np.int32)), pa.array(signed), rows.column(0)]
+                names = ["task", "part", "depth", "hash", "node_id"]
+                if sketch is not None:
+                    columns, names = [*columns, rows.column(2), sketch], [*names, "stop", "sketch"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of one part each, of rows sorted by part."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = np.asarray(batch.column(1))
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and held[0].column(1)[0].as_py() != part[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sorted_array(part: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes, node ids and the depth of a part."""
+    return np.asarray(part["hash"]).view(np.uint64) ^ np.uint64(1 << 63), np.asarray(part["node_id"]), part["depth"][0].as_py()
+
+
+#: numbers of others that a descent notes the longest shared prefix of
+NOTED = 1 << np.arange(8)
+
+
+def _descended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node_id, noted): a byte for each number in NOTED: 1 + the longest prefix that so many others share in this tree, 0 if none does."""
+    for part in _parts(batches):
+        h, node, depth = _sorted_array(part)
+        differ = h[1:] ^ h[:-1]
+        noted = np.zeros((len(h), len(NOTED)), np.uint8)
+        reached = np.zeros(len(h), np.int64)  # numbers noted so far
+        for length in range(BITS, depth - 1, -1):
+            new = (differ >> np.uint64(BITS - length)) != 0 if length else np.zeros(len(differ), bool)
+            segment = np.concatenate([[0], np.cumsum(new)])
+            others = np.bincount(segment)[segment] - 1
+            now = np.searchsorted(NOTED, others, side="right")
+            for i in np.unique(now):
+                rows = (now == i) & (reached < i)
+                if rows.any():
+                    for k in range(i):
+                        fresh = rows & (reached <= k)
+                        noted[fresh, k] = length + 1
+                    reached[rows] = i
+            if (reached == len(NOTED)).all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.ascontiguousarray(noted).view(np.int64).ravel())], names=["node_id", "noted"])
+
+
+def _ascents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node_id, stop): the length at which the trees, ascending in step, hold WANTED candidates in all (numbers in between those noted count as the lower one)."""
+    more = np.diff(NOTED, prepend=0)
     for batch in batches:
         if not batch.num_rows:
             continue
-        sketch = batch.column(3)
-        own = (
-            np.asarray(batch.column(0)),
-            np.asarray(batch.column(1)).view(np.uint64),
-            np.asarray(batch.column(2)),
-            np.frombuffer(sketch.buffers()[2], np.uint64)[sketch.offset * width :][: len(sketch) * width].reshape(-1, width),
-        )
-        tree, hash_, node, far = own if held is None else tuple(np.concatenate([a, b]) for a, b in zip(held, own))
-        new = 0 if held is None else len(held[0])
-        left, right = [], []
-        for j in range(1, min(reach, len(node) - 1) + 1):
-            first = max(0, new - j)
-            a, b = slice(first, len(node) - j), slice(first + j, len(node))
-            near = np.flatnonzero((tree[a] == tree[b]) & ((hash_[a] ^ hash_[b]) >> np.uint64(BITS - level) == 0 if level else True))
-            near = near[np.bitwise_count(far[a][near] ^ far[b][near]).sum(1) <= most_apart]
-            left.append(node[a][near])
-            right.append(node[b][near])
-        held = tuple(x[-reach:] for x in (tree, hash_, node, far))
-        if left:
-            x, y = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        lists = batch.column(1)
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+        noted = np.asarray(lists.flatten()).view(np.uint8).reshape(-1, len(NOTED))
+        found = np.zeros((batch.num_rows, BITS + 2), np.int64)
+        for k, n in enumerate(more):
+            np.add.at(found, (row, noted[:, k]), n)
+        found[:, 0] = 0
+        enough = found[:, ::-1].cumsum(1)[:, ::-1] >= WANTED
+        stop = np.where(enough.any(1), BITS + 1 - enough[:, ::-1].argmax(1) - 1, 0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.maximum(stop, 0).astype(np.int32))], names=["node_id", "stop"])
+
+
+def _ascended(batches: Iterator[pa.RecordBatch], most_apart: int, at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pairs of a vector and those that share its prefix of the length it stops at, if their sketches are near."""
+    width = TREES * SKETCH_BITS // 64
+    for part in _parts(batches):
+        h, node, depth = _sorted_array(part)
+        far = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint64).reshape(-1, width)
+        stop = np.maximum(np.asarray(part["stop"]), depth).astype(np.uint64)
+        below = np.where(stop == 0, np.uint64(2**64 - 1), (np.uint64(1) << (np.uint64(BITS) - np.maximum(stop, np.uint64(1)))) - np.uint64(1))
+        first, last = np.searchsorted(h, h & ~below), np.searchsorted(h, h | below, side="right")
+        ends = np.cumsum(last - first)
+        i = 0
+        while i < len(h):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, side="right")))
+            size = (last - first)[i:j]
+            x = np.repeat(np.arange(i, j), size)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[i:j], size)
+            near = (x != y) & (np.bitwise_count(far[x] ^ far[y]).sum(1) <= most_apart)
+            a, b = node[x[near]], node[y[near]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+            i = j
+
+
+def _forest(kept: DataFrame, rows: int, dim: int, most_apart: int, middles: np.ndarray, apart: float) -> DataFrame:
+    """(a, b): distinct candidate pairs, a < b, among the rows of kept (node_id, vec) that are at home in no ball."""
+    vectors = kept.select("node_id", "vec")
+    bits = min(CUT_BITS, max(0, math.ceil(math.log2(max(rows, 1) / TASK_ROWS)) + 6)) if rows > TASK_ROWS else 0
+    counted = vectors.mapInArrow(lambda b: _cut_counts(b, dim, bits, middles, apart), "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(TREES << bits, np.int64)
+    counts[np.asarray(counted["prefix"])] = np.asarray(counted["n"])
+    cuts = _Cuts(counts.reshape(TREES, -1))
+    place = "task int, part int, depth int, hash bigint, node_id bigint"
+    arrays = lambda df: df.repartitionById(cuts.tasks, "task").sortWithinPartitions("part", "hash", "node_id")
+    trees = vectors.mapInArrow(lambda b: _placed(b, dim, cuts, middles, apart), place)
+    noted = arrays(trees).mapInArrow(_descended, "node_id bigint, noted bigint").groupBy("node_id").agg(F.collect_list("noted").alias("noted"))  # one of each tree
+    stops = noted.mapInArrow(_ascents, "node_id bigint, stop int")
+    again = vectors.join(stops, "node_id").select("node_id", "vec", "stop").mapInArrow(lambda b: _placed(b, dim, cuts, middles, apart), f"{place}, stop int, sketch binary")
+    return arrays(again).mapInArrow(lambda b: _ascended(b, most_apart), "a bigint, b bigint").distinct()
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -251,21 +396,22 @@ def _in_blocks(batches: Iterator[pa.RecordBatch], dim: int, k: int, least: float
         yield nearest.result(least)
 
 
-def _dense(kept: DataFrame, n: int, k: int, least: float, dim: int, level: int) -> DataFrame | None:
-    """(x, y, similarity): the k nearest y of each x where x or y lies in a dense ball; None if there is none.
+def _dense(kept: DataFrame, n: int, k: int, least: float, dim: int, level: int) -> tuple[DataFrame | None, np.ndarray]:
+    """(x, y, similarity): the k nearest y of each x where x or y lies in a dense ball, None if there is none; and the middles of the balls.
 
     Rows at home are compared with all rows that can be as near as `least`, so these are all pairs that count.
     """
     apart = math.acos(least)
     middles = _middles(kept, n, dim, level, apart)
     if not len(middles):
-        return None
+        return None, middles
     vectors = kept.select("node_id", "vec")
     laid = lambda m: vectors.mapInArrow(lambda b: _balls(b, dim, m, apart), "node_id bigint, vec binary, ball int, home boolean")
     homes = {r.ball for r in laid(middles).filter("home").groupBy("ball").count().filter(F.col("count") >= FEWEST).collect()}
     if not homes:
-        return None
-    balls = laid(middles[sorted(homes)])
+        return None, middles[:0]
+    middles = middles[sorted(homes)]
+    balls = laid(middles)
     sizes: dict[int, list[int]] = {}
     for r in balls.groupBy("ball", "home").count().collect():
         sizes.setdefault(r.ball, [0, 0])[0 if r.home else 1] = r["count"]
@@ -283,7 +429,7 @@ def _dense(kept: DataFrame, n: int, k: int, least: float, dim: int, level: int)
     rows = placed.select("ball", "node_id", "vec", F.explode(F.when(F.col("home"), at_home).otherwise(as_guest)).alias("p"))
     tasks = min(sum(h + g for _, h, g in plan), max(200, kept.sparkSession.sparkContext.defaultParallelism))
     sorted_rows = rows.select("ball", "p.block", "p.role", "node_id", "vec").repartition(tasks, "ball", "block").sortWithinPartitions("ball", "block", "role", "node_id")
-    return sorted_rows.mapInArrow(lambda b: _in_blocks(b, dim, k, least), "x bigint, y bigint, similarity double")
+    return sorted_rows.mapInArrow(lambda b: _in_blocks(b, dim, k, least), "x bigint, y bigint, similarity double"), middles
 
 
 def _compared(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -295,7 +441,7 @@ def _compared(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(dot, 6))], names=["a", "b", "similarity"])
 
 
-def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM, reach: int = REACH, key: str = "node_id", vector: str = "embedding") -> DataFrame:
+def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM, key: str = "node_id", vector: str = "embedding") -> DataFrame:
     """(node_id_a, node_id_b, similarity), a < b: pairs of cosine similarity `least` or more where one is among the k most similar of the other.
 
     Of dense balls all pairs that count are compared, which costs the square of a ball's rows. Similarity is computed in double and rounded to 6 decimals; among equals the smaller id comes first. The forest may
@@ -314,10 +460,8 @@ def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM
     sketch_bits = TREES * SKETCH_BITS
     most_apart = math.floor(sketch_bits * apart + 3 * math.sqrt(sketch_bits * apart * (1 - apart)))
     level = max(0, math.floor(math.log2(max(n, 1) / SHARED)))
-    trees = kept.select("node_id", "vec").mapInArrow(lambda b: _hashed(b, dim), "tree int, hash bigint, node_id bigint, sketch binary")
-    parts = max(1, -(-n * TREES // TASK_ROWS))
-    sorted_arrays = trees.repartitionByRange(parts, "tree", "hash", "node_id").sortWithinPartitions("tree", "hash", "node_id")
-    near = sorted_arrays.mapInArrow(lambda b: _ascended(b, reach, level, most_apart), "a bigint, b bigint").distinct()
+    dense, middles = _dense(kept, n, k, least, dim, level)
+    near = _forest(kept, n, dim, most_apart, middles, math.acos(least))
     vectors = kept.select("node_id", "vec")
     both = (
         near.join(vectors.select(F.col("node_id").alias("a"), F.col("vec").alias("va")), "a")
@@ -328,7 +472,6 @@ def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM
     directed = exact.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "similarity")
     order = W.partitionBy("x").orderBy(F.col("similarity").desc(), "y")
     found = directed.select("p.x", "p.y", "similarity")
-    dense = _dense(kept, n, k, least, dim, level)
     if dense is not None:
         found = found.unionByName(dense).groupBy("x", "y").agg(F.max("similarity").alias("similarity"))
     top = written(found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k), "nearest")
