@@ -29,7 +29,7 @@ LONG, SHORT = 2 * PIECE, 2 * PIECE + 1
 TRAIN, EVAL = "train", ("valid", "test")
 #: counters that pieces are counted in; bits of the filter of probed terms for each row outside train, and at most
 COUNTERS = 1 << 16
-FILTER_BITS, MOST_FILTER_BITS = 128, 1 << 26
+FILTER_BITS, MOST_FILTER_BITS = 64, 1 << 28
 #: rows of a list, or copies of an edge, that are joined in one slice
 SLICE = 20_000
 
@@ -196,7 +196,7 @@ def overlaps(edges: DataFrame) -> DataFrame:
     weights = piece_weights(e)
     rows = only(edges, "split").filter(F.col("split").isin(*EVAL)).count()
     bits = min(MOST_FILTER_BITS, 1 << max(16, (FILTER_BITS * rows - 1).bit_length()))
-    distinct = evals.select("key", "kind", "lo", "hi").distinct()
+    distinct = written(evals.select("key", "kind", "lo", "hi").distinct(), "evals")
     probing = _probing(_vectors(distinct, "key"), weights)
     listed = written(_probed(_listed(_vectors(train, "edge_id", "key"), weights), _term_filter(probing, bits), bits), "listed")
     lists = listed.select("term", F.col("key").alias("key_train"), "kind", "anchor", "other").distinct()
