@@ -22,17 +22,47 @@ def test_trie_counts(items, burst):
         trie.add(term, n, 1)
         want[term] += n
     got = list(trie.items())
-    assert {t: o for t, o, _ in got} == want and len(got) == len(want) == trie.n_terms
+    assert {t: o for t, o, _ in got} == want and len(got) == len(want)
     assert sum(r for *_, r in got) == len(items)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="ab_ß", max_size=7), max_size=40), max_size=5), st.integers(1, 5))
+def test_merged_tries(parts, burst):
+    whole, want = term_counts.BurstTrie(burst), Counter()
+    for terms in parts:
+        trie = term_counts.BurstTrie(burst)
+        for t in terms:
+            trie.add(t, 2, 1)
+            want[t] += 1
+        whole.merge(trie)
+    got = list(whole.items())
+    assert {t: (o, r) for t, o, r in got} == {t: (2 * n, n) for t, n in want.items()} and len(got) == len(want)
+
+
+@given(st.lists(st.text(alphabet="abc", max_size=6), max_size=60), st.integers(1, 20))
+def test_routes(terms, n):
+    routes = term_counts.Routes(terms, n)
+    for t in [*terms, "", "zz", "abcabcabc"]:
+        r = routes.of(t)
+        assert t.startswith(r) and r in routes.known
+        assert not any(t.startswith(k) and len(k) > len(r) for k in routes.known)
+
+
+def test_heavy_prefixes_get_long_routes():
+    terms = [f"part_{k:05d}" for k in range(5000)] + ["a", "b"]
+    routes = term_counts.Routes(terms, 50)
+    load = Counter(map(routes.of, terms))
+    assert max(load.values()) <= 200 and len(load) >= 30
+
+
 def _edges(spark, rows):
     return spark.createDataFrame(rows, EDGE_SCHEMA)
 
 
 @pytest.mark.parametrize("flush", [400_000, 1])
 def test_term_counts(spark, flush, monkeypatch):
-    monkeypatch.setattr(term_counts, "ROWS", 64)
+    monkeypatch.setattr(term_counts, "ROUTED_ROWS", 64)
     rng = random.Random(4)
     names = [None, "", " -", "Hot", "hot ", "a_b", "A-b", "ｈot", "x" * 3000, "long" * 50]
     rows = [_edge(i, rng.choice(names), rng.choice(names[:6]), rng.choice(names)) for i in range(600)]
