@@ -1,16 +1,26 @@
-"""References to records that do not exist: keyed state over parent arrivals, removals and references in event order."""
+"""References to records that do not exist: keyed state over parent arrivals, removals and references, batch by batch.
+
+The state holds what is known of each parent key and the references that wait. New references probe the parent index;
+those that no parent holds wait by id. Parents that arrive, and removals, change the index; where they come late, with a
+time before one that was judged already, the references of their keys are judged again, so arrivals resolve and removals
+reopen. Counts are reported as each period ends.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.labels import normal_form
 from loomgraph.operators.skew import heavy_labels
-from loomgraph.session import only
+from loomgraph.session import only, sent_if_small, written
 
-SALTS = 32
+#: sub-keys for references of heavy keys that no parent holds; batches that a table is divided into at most
+SALTS, MOST_BATCHES = 256, 12
 #: column of the edge list, and the parent table it refers to
 FIELDS = (("src_column", "node_mapping"), ("edge_type_column", "relation_mapping"), ("dst_column", "node_mapping"))
 
@@ -40,39 +50,90 @@ def parent_events(mapping: DataFrame, parent: str, label: str) -> DataFrame:
     )
 
 
-def _live(w: W) -> Column:
-    return F.coalesce(F.sum("delta").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0))
+def live_spans(events: DataFrame) -> DataFrame:
+    """(parent, label, since, until): when a key had a parent; until is null for one that it still has. Parents change at an instant before references look."""
+    by_key = W.partitionBy("parent", "label").orderBy("at")
+    steps = events.groupBy("parent", "label", "at").agg(F.sum("delta").alias("delta"))
+    swept = steps.select("parent", "label", F.col("at").alias("since"), F.lead("at").over(by_key).alias("until"), F.sum("delta").over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("live"))
+    return swept.filter("live > 0").drop("live")
 
 
-def orphans_at_load(refs: DataFrame, events: DataFrame, heavy: DataFrame | None = None, state: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
-    """References of this batch whose label no parent row holds at the moment they arrive: (parent, field, label, ref_id, at).
+def probe(refs: DataFrame, spans: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """References that no span covers: mapped_at <= at counts as held and removed_at <= at as gone; a reference without a time is held by nothing.
 
-    Each key keeps the number of parent rows live so far; a reference probes it in event order. At one instant parents
-    change before references look, so mapped_at <= at counts as held and removed_at <= at as gone. A reference without
-    a time is held by nothing. `state` is the result of advance() for the batches before this one.
-
-    `heavy` (parent, label; bounded, see skew.heavy_labels) names keys whose references are spread over `salts`
-    sub-keys, each with its own copy of the key's few parent events.
+    `heavy` (parent, label; bounded, see skew.heavy_labels) names keys that hold most references: their spans go to all
+    workers, so what they hold is settled without a shuffle; what they don't is spread over sub-keys that no span has.
     """
-    if state is not None:
-        first = F.lit("0001-01-01 00:00:00").cast("timestamp")
-        events = state.select("parent", "label", first.cast(dict(events.dtypes)["at"]).alias("at"), F.col("live").alias("delta")).unionByName(events)
-    none = F.lit(None)
-    parents = events.select("parent", "label", "at", F.lit(0).alias("kind"), "delta", none.cast("string").alias("field"), none.cast("bigint").alias("ref_id"))
-    children = refs.select("parent", "label", "at", F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("delta"), "field", F.col("ref_id").cast("bigint").alias("ref_id"))
+    covers = lambda key, r, s: (key == s["label"]) & (r["parent"] == s["parent"]) & (s["since"] <= r["at"]) & (s["until"].isNull() | (s["until"] > r["at"]))
     if heavy is None:
-        all_events = parents.unionByName(children).withColumn("salt", F.lit(0))
-    else:
-        hot = F.broadcast(heavy.select("parent", "label").distinct().withColumn("hot", F.lit(True)))
-        spread = F.when(F.col("hot"), F.pmod(F.xxhash64("ref_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-        copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        all_events = (
-            parents.join(hot, ["parent", "label"], "left").withColumn("salt", F.explode(copies)).drop("hot")
-            .unionByName(children.join(hot, ["parent", "label"], "left").withColumn("salt", spread).drop("hot"))
-        )
-    w = W.partitionBy("label", "parent", "salt").orderBy(F.col("at").asc_nulls_first(), "kind")
-    swept = all_events.withColumn("live", _live(w))
-    return swept.filter((F.col("kind") == 1) & (F.col("live") <= 0)).select("parent", "field", "label", "ref_id", "at")
+        return refs.join(spans, covers(refs["label"], refs, spans), "left_anti")
+    hot = heavy.select("parent", "label").distinct()
+    of_heavy = sent_if_small(spans.join(F.broadcast(hot), ["parent", "label"], "left_semi"), 64)
+    left = refs.join(of_heavy, covers(refs["label"], refs, of_heavy), "left_anti").join(F.broadcast(hot.withColumn("_hot", F.lit(True))), ["parent", "label"], "left")
+    key = F.when(left["_hot"], F.concat(F.lit("\0"), F.pmod(F.xxhash64("ref_id", "at"), F.lit(SALTS)).cast("string"))).otherwise(left["label"])
+    keyed = left.withColumn("_key", key)
+    return keyed.join(spans, covers(keyed["_key"], keyed, spans), "left_anti").select("parent", "field", "label", "ref_id", "at")
+
+
+def orphans_at_load(refs: DataFrame, events: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """References whose label no parent row holds at the moment they arrive, all at once: (parent, field, label, ref_id, at)."""
+    return probe(refs, live_spans(events), heavy)
+
+
+@dataclass(frozen=True)
+class State:
+    """What is known after some batches, which end before `until`.
+
+    events: of parents, in pieces that are written once each; waiting: references that no parent held when they came;
+    judged: the references of all batches, as they were handed in, read again only for keys whose parents come late.
+    """
+
+    events: tuple[DataFrame, ...]
+    waiting: DataFrame
+    judged: tuple[DataFrame, ...]
+    until: str
+
+
+def _all(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def step(state: State | None, refs: DataFrame, events: DataFrame, until: str, heavy: DataFrame | None = None) -> State:
+    """The state after a batch of references and parent events, all before `until`; any of them may be earlier than the batches before, whatever their order."""
+    new = written(events.select("parent", "label", "at", "delta"), "parents")
+    if state is None:
+        return State((new,), probe(refs, live_spans(new), heavy), (refs,), until)
+    known = (*state.events, new)
+    spans = live_spans(_all(known))
+    late = new.filter(F.col("at") < F.lit(state.until).cast(dict(new.dtypes)["at"])).select("parent", "label").distinct()
+    waiting, asked = state.waiting, refs
+    if not late.isEmpty():
+        late = sent_if_small(late, 64)
+        asked = refs.unionByName(_all(state.judged).join(late, ["parent", "label"], "left_semi").select(*refs.columns))
+        waiting = waiting.join(late, ["parent", "label"], "left_anti")
+    return State(known, waiting.unionByName(probe(asked, spans, heavy)), (*state.judged, refs), max(until, state.until))
+
+
+def periods(moments: DataFrame, at: str = "at") -> list[tuple[str | None, str | None]]:
+    """(from, to) of years in which something happens, open at the start and the end; at most MOST_BATCHES."""
+    years = sorted(r.year for r in moments.select(F.year(at).alias("year")).distinct().collect() if r.year is not None)
+    starts = [f"{y:04d}-01-01 00:00:00" for y in years[:: max(1, -(-len(years) // MOST_BATCHES))]] or ["0001-01-01 00:00:00"]
+    return list(zip([None, *starts[1:]], [*starts[1:], None]))
+
+
+def batches(refs: DataFrame, events: DataFrame, spans: Sequence[tuple[str | None, str | None]]) -> Iterator[tuple[DataFrame, DataFrame, str]]:
+    """References and events of each period, and its end; references without a time come first."""
+
+    def within(df: DataFrame, lo: str | None, hi: str | None) -> DataFrame:
+        moment = lambda x: F.lit(x).cast(dict(df.dtypes)["at"])
+        known = df if lo is None else df.filter(F.col("at") >= moment(lo))
+        return known if hi is None else known.filter((F.col("at") < moment(hi)) | F.col("at").isNull()) if lo is None else known.filter(F.col("at") < moment(hi))
+
+    for lo, hi in spans:
+        yield within(refs, lo, hi), within(events, lo, hi), hi or "9999-12-31 23:59:59"
 
 
 def advance(state: DataFrame | None, refs: DataFrame, events: DataFrame) -> DataFrame:
@@ -94,25 +155,39 @@ def pending(state: DataFrame) -> DataFrame:
     return state.filter((F.col("live") <= 0) & (F.col("n_refs") > 0)).groupBy("parent").agg(F.count(F.lit(1)).alias("n_labels"), F.sum("n_refs").alias("n_refs"))
 
 
-def pending_snapshots(refs: DataFrame, events: DataFrame) -> DataFrame:
-    """(parent, month, n_pending) at the end of each month in which something happened: what advance() month by month would report.
+def snapshots(state: DataFrame | None, refs: DataFrame, events: DataFrame) -> DataFrame:
+    """(parent, month, n_pending) at the end of each month of a batch in which something happened, after the batches that `state` (see advance) sums up.
 
-    Events and references are summed per key and month before any shuffle of them; a key then has one row a month.
+    Events and references are summed per key and month before any shuffle of them; a key then has one row a month, and
+    one for the state it comes with. References without a time are not counted.
     """
     month = F.date_format(F.date_trunc("month", "at"), "yyyy-MM")
+    none = F.lit(0).cast("bigint")
     steps = (
-        events.withColumn("month", month).groupBy("parent", "label", "month").agg(F.sum("delta").alias("delta"), F.lit(0).cast("bigint").alias("n"))
-        .unionByName(refs.filter(F.col("at").isNotNull()).withColumn("month", month).groupBy("parent", "label", "month").agg(F.lit(0).cast("bigint").alias("delta"), F.count(F.lit(1)).alias("n")))
-        .groupBy("parent", "label", "month").agg(F.sum("delta").alias("delta"), F.sum("n").alias("n"))
+        events.withColumn("month", month).groupBy("parent", "label", "month").agg(F.sum("delta").alias("delta"), none.alias("n"))
+        .unionByName(refs.filter(F.col("at").isNotNull()).withColumn("month", month).groupBy("parent", "label", "month").agg(none.alias("delta"), F.count(F.lit(1)).alias("n")))
     )
+    if state is not None:
+        steps = steps.unionByName(state.select("parent", "label", F.lit("").alias("month"), F.col("live").alias("delta"), F.col("n_refs").alias("n")))
+    steps = steps.groupBy("parent", "label", "month").agg(F.sum("delta").alias("delta"), F.sum("n").alias("n"))
     by_key = W.partitionBy("parent", "label").orderBy("month")
     running = by_key.rowsBetween(W.unboundedPreceding, W.currentRow)
-    state = steps.select("parent", "label", "month", F.sum("delta").over(running).alias("live"), F.sum("n").over(running).alias("seen"))
-    open_ = state.withColumn("open", F.when(F.col("live") <= 0, F.col("seen")).otherwise(F.lit(0)))
+    swept = steps.select("parent", "label", "month", F.sum("delta").over(running).alias("live"), F.sum("n").over(running).alias("seen"))
+    open_ = swept.withColumn("open", F.when(F.col("live") <= 0, F.col("seen")).otherwise(F.lit(0)))
     change = open_.withColumn("change", F.col("open") - F.coalesce(F.lag("open").over(by_key), F.lit(0)))
     per_month = change.groupBy("parent", "month").agg(F.sum("change").alias("change"))
-    total = W.partitionBy("parent").orderBy("month").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return per_month.select("parent", "month", F.sum("change").over(total).alias("n_pending"))
+    total = W.partitionBy("parent").orderBy("month").rowsBetween(W.unboundedPreceding, W.currentRow)  # a row for each month
+    return per_month.select("parent", "month", F.sum("change").over(total).alias("n_pending")).filter("month <> ''")
+
+
+def pending_snapshots(refs: DataFrame, events: DataFrame, spans: Sequence[tuple[str | None, str | None]] = ((None, None),)) -> DataFrame:
+    """snapshots() batch by batch, each from the keyed state that the one before left."""
+    state, out = None, []
+    for i, (r, e, _) in enumerate(batches(refs, events, spans)):
+        out.append(snapshots(state, r, e))
+        if i + 1 < len(spans):
+            state = written(advance(state, r.filter(F.col("at").isNotNull()), e), "pending")
+    return _all(out)
 
 
 def all_parent_events(node_mapping: DataFrame, relation_mapping: DataFrame) -> DataFrame:
@@ -120,7 +195,13 @@ def all_parent_events(node_mapping: DataFrame, relation_mapping: DataFrame) -> D
 
 
 def edge_list_orphans(edges: DataFrame, node_mapping: DataFrame, relation_mapping: DataFrame) -> DataFrame:
-    """orphans_at_load() for an edge list and its two mapping tables, with heavy labels salted."""
+    """What waits, by id, after step() has taken an edge list and its two mapping tables year by year: the references that no parent held at load.
+
+    Absent labels refer to nothing. Repeated rows refer each. Empty tables give no rows; without mappings all wait.
+    """
     parent_of = F.create_map(*[F.lit(x) for pair in FIELDS for x in pair])
-    heavy = heavy_labels(edges, tuple(c for c, _ in FIELDS)).select(parent_of[F.col("field")].alias("parent"), F.col("term").alias("label"))
-    return orphans_at_load(references(edges), all_parent_events(node_mapping, relation_mapping), heavy)
+    heavy = written(heavy_labels(edges, tuple(c for c, _ in FIELDS)).select(parent_of[F.col("field")].alias("parent"), F.col("term").alias("label")), "heavy")
+    state = None
+    for refs, events, until in batches(references(edges), all_parent_events(node_mapping, relation_mapping), periods(only(edges, "loaded_at"), "loaded_at")):
+        state = step(state, refs, events, until, heavy)
+    return state.waiting

@@ -30,8 +30,9 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pending(spark: SparkSession, d: str) -> DataFrame:
+    edges = table(spark, d, "edge_list")
     events = orphans.all_parent_events(table(spark, d, "node_mapping"), table(spark, d, "relation_mapping"))
-    return orphans.pending_snapshots(orphans.references(table(spark, d, "edge_list")), events)
+    return orphans.pending_snapshots(orphans.references(edges), events, orphans.periods(edges, "loaded_at"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

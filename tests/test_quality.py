@@ -85,17 +85,43 @@ def test_orphans_in_batches_equal_one_batch(spark):
     whole = {r.ref_id for r in orphans.orphans_at_load(refs, events).collect()}
     heavy = spark.createDataFrame([("p", "k0"), ("p", "k1")], "parent string, label string")
     assert {r.ref_id for r in orphans.orphans_at_load(refs, events, heavy).collect()} == whole
-    state, found = None, set()
-    for lo, hi in ((0, 10), (10, 20), (20, 99)):
-        between = (F.col("at") >= F.lit(_h(lo)).cast("timestamp_ntz")) & (F.col("at") < F.lit(_h(hi)).cast("timestamp_ntz"))
-        r, e = refs.filter(between), events.filter(between)
-        found |= {x.ref_id for x in orphans.orphans_at_load(r, e, state=state).collect()}
+    spans = [(None, str(_h(10))), (str(_h(10)), str(_h(20))), (str(_h(20)), None)]
+    state, known = None, None
+    for r, e, until in orphans.batches(refs, events, spans):
+        known = orphans.step(known, r, e, until, heavy)
         state = orphans.advance(state, r, e)
+    found = {x.ref_id for x in known.waiting.collect()}
     assert found == whole
     assert {tuple(r) for r in state.collect()} == {tuple(r) for r in orphans.advance(None, refs, events).collect()}
     assert [r.n_labels for r in orphans.pending(state).collect()] == [1]  # k5 never came
 
 
+def test_late_orphans_and_parents(spark):
+    """Batches that don't follow time: late parents resolve, late removals reopen, late references probe their own time."""
+    rng = random.Random(8)
+    refs = spark.createDataFrame([("p", "f", f"k{rng.randrange(6)}", i, _h(rng.randrange(40))) for i in range(300)] + [("p", "f", "k0", 999, None)], "parent string, field string, label string, ref_id bigint, at timestamp_ntz")
+    events = spark.createDataFrame([("p", f"k{k}", _h(t), d) for k in range(5) for t, d in ((3 + k, 1), (12 + k, -1), (25, 1))], "parent string, label string, at timestamp_ntz, delta bigint")
+    whole = {r.ref_id for r in orphans.orphans_at_load(refs, events).collect()}
+    state, until = None, ""
+    for part in range(3):
+        r, e = refs.filter(F.pmod(F.hash("ref_id"), F.lit(3)) == part), events.filter(F.pmod(F.hash("label", "at"), F.lit(3)) == part)
+        until = max(until, str(_h(41)))
+        state = orphans.step(state, r, e, until)
+    found = [x.ref_id for x in state.waiting.collect()]
+    assert len(found) == len(set(found)) and set(found) == whole
+
+
+def test_snapshots_in_batches(spark):
+    rng = random.Random(4)
+    day = lambda k: T0 + dt.timedelta(days=k)
+    refs = spark.createDataFrame([("p", "f", f"k{rng.randrange(9)}", i, day(rng.randrange(400))) for i in range(500)], "parent string, field string, label string, ref_id bigint, at timestamp_ntz")
+    events = spark.createDataFrame([("p", f"k{k}", day(t), d) for k in range(8) for t, d in ((30 + 20 * k, 1), (120 + 25 * k, -1), (350, 1))], "parent string, label string, at timestamp_ntz, delta bigint")
+    once = {tuple(r) for r in orphans.pending_snapshots(refs, events).collect()}
+    month = lambda k: str(day(k).replace(day=1, hour=0, minute=0, second=0))
+    spans = [(None, month(100)), (month(100), month(250)), (month(250), None)]
+    assert {tuple(r) for r in orphans.pending_snapshots(refs, events, spans).collect()} == once and len(once) > 10
+
+
 LAYOUTS = [(0, "a", "train", " ", 0, 3, 0, 1, 2, None), (1, "b", "train", ",", 1, 5, 1, 2, 3, 4), (2, "c", "test", ";", 0, 3, 0, None, 1, 2), (3, "d", "test", None, 0, 3, 0, 1, 2, None), (4, "e", "test", "|", 0, 2, 0, 1, 5, None)]
 FILES = "file_id int, file_name string, split string, delim string, header_length int, n_columns int, src_column int, edge_type_column int, dst_column int, edge_weight_column int"
 RAW = "line_id bigint, file_id int, line_no bigint, raw_line string, received_at timestamp_ntz"
