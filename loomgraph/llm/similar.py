@@ -29,7 +29,7 @@ from loomgraph.session import BROADCAST_BYTES, only, spread, written
 
 DIM, TREES, BITS = 64, 16, 64
 #: candidates that an ascent ends with, and rows of a part of a tree, unless its hashes are equal to the CUT_BITS-th bit
-WANTED, TASK_ROWS, CUT_BITS = 1024, 200_000, 16
+WANTED, TASK_ROWS, CUT_BITS = 512, 200_000, 16
 #: vectors that a prefix of usual length holds, where overfull ones are sought
 SHARED = 48
 SKETCH_BITS = 16  # of each tree, from the far end of its hash string
@@ -200,8 +200,8 @@ def _descended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.ascontiguousarray(noted).view(np.int64).ravel())], names=["node_id", "noted"])
 
 
-def _ascents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node_id, stop): the length at which the trees, ascending in step, hold WANTED candidates in all (numbers in between those noted count as the lower one)."""
+def _ascents(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.RecordBatch]:
+    """(node_id, stop): the length at which the trees, ascending in step, hold `wanted` candidates in all (numbers in between those noted count as the lower one)."""
     more = np.diff(NOTED, prepend=0)
     for batch in batches:
         if not batch.num_rows:
@@ -213,7 +213,7 @@ def _ascents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, n in enumerate(more):
             np.add.at(found, (row, noted[:, k]), n)
         found[:, 0] = 0
-        enough = found[:, ::-1].cumsum(1)[:, ::-1] >= WANTED
+        enough = found[:, ::-1].cumsum(1)[:, ::-1] >= wanted
         stop = np.where(enough.any(1), BITS + 1 - enough[:, ::-1].argmax(1) - 1, 0)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.maximum(stop, 0).astype(np.int32))], names=["node_id", "stop"])
 
@@ -243,7 +243,7 @@ def _ascended(batches: Iterator[pa.RecordBatch], most_apart: int, at_once: int =
             i = j
 
 
-def _forest(kept: DataFrame, rows: int, dim: int, most_apart: int, middles: np.ndarray, apart: float) -> DataFrame:
+def _forest(kept: DataFrame, rows: int, dim: int, most_apart: int, middles: np.ndarray, apart: float, wanted: int) -> DataFrame:
     """(a, b): distinct candidate pairs, a < b, among the rows of kept (node_id, vec) that are at home in no ball."""
     vectors = kept.select("node_id", "vec")
     bits = min(CUT_BITS, max(0, math.ceil(math.log2(max(rows, 1) / TASK_ROWS)) + 6)) if rows > TASK_ROWS else 0
@@ -255,7 +255,7 @@ def _forest(kept: DataFrame, rows: int, dim: int, most_apart: int, middles: np.n
     arrays = lambda df: df.repartitionById(cuts.tasks, "task").sortWithinPartitions("part", "hash", "node_id")
     trees = vectors.mapInArrow(lambda b: _placed(b, dim, cuts, middles, apart), place)
     noted = arrays(trees).mapInArrow(_descended, "node_id bigint, noted bigint").groupBy("node_id").agg(F.collect_list("noted").alias("noted"))  # one of each tree
-    stops = noted.mapInArrow(_ascents, "node_id bigint, stop int")
+    stops = noted.mapInArrow(lambda b: _ascents(b, wanted), "node_id bigint, stop int")
     again = vectors.join(stops, "node_id").select("node_id", "vec", "stop").mapInArrow(lambda b: _placed(b, dim, cuts, middles, apart), f"{place}, stop int, sketch binary")
     return arrays(again).mapInArrow(lambda b: _ascended(b, most_apart), "a bigint, b bigint").distinct()
 
@@ -441,7 +441,7 @@ def _compared(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(dot, 6))], names=["a", "b", "similarity"])
 
 
-def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM, key: str = "node_id", vector: str = "embedding") -> DataFrame:
+def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM, wanted: int = WANTED, key: str = "node_id", vector: str = "embedding") -> DataFrame:
     """(node_id_a, node_id_b, similarity), a < b: pairs of cosine similarity `least` or more where one is among the k most similar of the other.
 
     Of dense balls all pairs that count are compared, which costs the square of a ball's rows. Similarity is computed in double and rounded to 6 decimals; among equals the smaller id comes first. The forest may
@@ -461,7 +461,7 @@ def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM
     most_apart = math.floor(sketch_bits * apart + 3 * math.sqrt(sketch_bits * apart * (1 - apart)))
     level = max(0, math.floor(math.log2(max(n, 1) / SHARED)))
     dense, middles = _dense(kept, n, k, least, dim, level)
-    near = _forest(kept, n, dim, most_apart, middles, math.acos(least))
+    near = _forest(kept, n, dim, most_apart, middles, math.acos(least), wanted)
     vectors = kept.select("node_id", "vec")
     both = (
         near.join(vectors.select(F.col("node_id").alias("a"), F.col("vec").alias("va")), "a")

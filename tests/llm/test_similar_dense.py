@@ -58,8 +58,7 @@ def test_parts_of_trees(spark, monkeypatch):
     df = _vectors(spark, _rows(rng.permutation(len(v)), v))
     whole = {tuple(r) for r in similar.similar_pairs(df).collect()}
     monkeypatch.setattr(similar, "TASK_ROWS", 150)
-    monkeypatch.setattr(similar, "WANTED", 128)
-    cut = {tuple(r) for r in similar.similar_pairs(df).collect()}
+    cut = {tuple(r) for r in similar.similar_pairs(df, wanted=256).collect()}
     assert len(whole) > 800 and len(whole & cut) >= 0.99 * len(whole)
 
 
