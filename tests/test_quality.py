@@ -207,23 +207,40 @@ def test_rejects_headers_nulls_and_empty(spark):
     assert rejects.read_lines(raw, files.limit(0)).filter("reason = 'no_layout'").count() == 6
 
 
+def _file(lines, n=3, positions=(0, None, 1, None)):
+    import duckdb
+
+    con = _con.setdefault("c", duckdb.connect(config={"threads": 1}))
+    out, error, bad = [{}, {}, {}, {}], [None] * len(lines), set()
+    rejects._file(con, list(enumerate(lines)), ",", n, positions, out, error, bad)
+    return out, error, bad
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet='a_b",x1 \n\r', max_size=14), min_size=1, max_size=12))
 def test_reader_matches_plain_fields(lines):
-    import duckdb
+    out, error, _ = _file(lines)
+    for i, x in enumerate(lines):
+        v = _fields(x, ",")
+        assert (error[i] is None) == (v is not None and len(v) == 3), (x, error)
+        if error[i] is None:
+            flat = lambda y: y.replace("\n", "\x0b").replace("\r", "\x0b")
+            assert [flat(f[i]) for f in (out[0], out[2])] == [flat(y) for y in v[:2]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="0123459+-.eE_xnaifINFtd \t\r\x0b", max_size=7), min_size=1, max_size=12))
+def test_reader_matches_weight_format(weights):
+    import math
+    import re
 
-    con = _con.setdefault("c", duckdb.connect(config={"threads": 1}))
-    for guarded in (0, 1):
-        part = [(i, x) for i, x in enumerate(lines) if ('"' in x) == bool(guarded)]
-        if not part:
-            continue
-        good, bad = rejects._read(con, part, ",", 3, bool(guarded))
-        for i, x in part:
-            v = _fields(x, ",")
-            fits = v is not None and len(v) == 3
-            assert (i in good and i not in bad and (not guarded or rejects._quotes_hold(x, ","))) == fits, (x, good, bad)
-            if fits:
-                assert [y or "" for y in good[i]] == [y.replace("\n", "\x0b").replace("\r", "\x0b") for y in v]
+    out, error, bad = _file([f"a,b,{w}" for w in weights], 3, (0, None, 1, 2))
+    for i, w in enumerate(weights):
+        x = w.strip(" \t")
+        ok = x == "" or (re.fullmatch(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?", x) and math.isfinite(float(x)))
+        assert error[i] is None and (i not in bad) == bool(ok), (w, out[3].get(i))
+        if ok:
+            assert out[3].get(i) == (float(x) if x else None)
 
 
 _con: dict = {}
@@ -231,4 +248,4 @@ _con: dict = {}
 
 @pytest.mark.parametrize("line,ok", [('a,"b",c', True), ('a,b"c', False), ('"a""b"', True), ('"a"b"', False), ("", True), ('""', True), ('"', False)])
 def test_quotes_hold(line, ok):
-    assert rejects._quotes_hold(line, ",") is ok
+    assert (rejects._split(line, ",") is not None) is ok
