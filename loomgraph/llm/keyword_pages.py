@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import only, spread
+from loomgraph.session import only, spread, written
 
 # fixed values: function words of six languages
 FUNCTION_WORDS = {
@@ -41,8 +41,8 @@ EVEN, USUAL = 1, 1.5
 #: a list in brackets is a sound or lyric up to so many nats a symbol beyond HIGH; of the readable words of broken lines,
 #: a page needs so many to be judged by them, and this share of function words to be speech
 LEEWAY, READABLE, SPOKEN_SHARE = 0.7, 5, 0.1
-#: size of the model, and lines a worker remembers the score of
-MAX_TRIGRAMS, REMEMBERED = 200_000, 200_000
+#: trigrams below this share of all are left to the bigrams, so the model has at most 1 / MIN_SHARE; lines a worker remembers the score of
+MIN_SHARE, REMEMBERED = 1e-6, 200_000
 
 _TIME = r"\d{1,2}\s*[:.]\s*\d{2}\s*[:.,]\s*\d{2}(?:\s*[:.,]\s*\d{1,3})?"
 _CUES = re.compile(rf"{_TIME}\s*\S{{0,6}}\s?>?\s*{_TIME}|{_TIME}|\{{\d+\}}(?:\{{\d*\}})?|^[ \t﻿]*\d+[ \t]*$|^﻿?WEBVTT.*$", re.M)
@@ -60,6 +60,7 @@ _WESTERN = re.compile("[\xa8\xb8\xc0-\xff]")
 _SUNG = re.compile(r"^\s*(?:-\s*)?(?:[♪♫]|[#?]\s|[A-ZÀ-ÞА-ЯЁ]{2,}:\s*[♪♫])")
 _OPENED = re.compile(r"^\s*(?:-\s*)?[*(\[]")
 _ENCLOSED = re.compile(r"^\s*(?:-\s*)?(?:\*[^*]+\*|\([^()]+\)|\[[^\[\]]+\])\W*$")
+_NOTES = frozenset("#?P")
 _LISTED = re.compile(r"[|,;/，]").search
 
 
@@ -238,10 +239,19 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (a, b, c)] + [pa.array(list(counts.values()), pa.int64())], names=["a", "b", "c", "n"])
 
 
-def prose_counts(docs: DataFrame, text: str = "text", most: int = MAX_TRIGRAMS) -> DataFrame:
-    """(a, b, c, n): trigrams of symbols in all documents that read like prose; the `most` frequent make up the model."""
-    counted = spread(only(docs, text)).mapInArrow(_trigrams, "a string, b string, c string, n bigint")
-    return counted.groupBy("a", "b", "c").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "a", "b", "c").limit(most)
+def prose_counts(docs: DataFrame, text: str = "text", least: float = MIN_SHARE) -> list[tuple[str | None, str | None, str, int]]:
+    """(a, b, c, n) of trigrams of symbols in all documents that read like prose, (None, b, c, n) of bigrams and (None, None, c, n) of symbols.
+
+    Of trigrams and bigrams those with at least the share `least` of all counts: the same ones whatever the size of the
+    corpus, and no more than 1 / least of either. Symbols are function words and classes, a fixed alphabet.
+    """
+    counted = written(spread(only(docs, text)).mapInArrow(_trigrams, "a string, b string, c string, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n")), "trigrams")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    none = F.lit(None).cast("string")
+    enough = F.col("n") >= F.lit(least * total)
+    pairs = counted.groupBy("b", "c").agg(F.sum("n").alias("n")).filter(enough).select(none.alias("a"), "b", "c", "n")
+    singles = counted.groupBy("c").agg(F.sum("n").alias("n")).select(none.alias("a"), none.alias("b"), "c", "n")
+    return [tuple(x.values()) for x in counted.filter(enough).unionByName(pairs).unionByName(singles).toArrow().to_pylist()]
 
 
 class ProseModel:
@@ -249,21 +259,28 @@ class ProseModel:
 
     WEIGHTS = (0.05, 0.25, 0.7)
 
-    def __init__(self, trigrams: list[tuple[str, str, str, int]]):
+    def __init__(self, counts: list[tuple[str | None, str | None, str, int]]):
         one, two, three = self.WEIGHTS
-        singles, pairs, before, before2 = Counter(), Counter(), Counter(), Counter()
-        for a, b, c, n in trigrams:
-            singles[c] += n
-            pairs[b, c] += n
-            before[b] += n
-            before2[a, b] += n
+        singles = {c: n for a, b, c, n in counts if b is None}
+        pairs = {(b, c): n for a, b, c, n in counts if a is None and b is not None}
+        triples = {(a, b, c): n for a, b, c, n in counts if a is not None}
+        before = self._before({**singles, "<s>": singles.get("</s>", 0)}, pairs)
+        before2 = self._before(pairs, triples)
         total = sum(singles.values()) + 1
         p1 = {c: one * (n + 0.5) / total for c, n in singles.items()}
         self.unseen = -math.log(one * 0.5 / total)
         self.one = {c: -math.log(p) for c, p in p1.items()}
         p2 = {(b, c): p1[c] + two * n / before[b] for (b, c), n in pairs.items()}
         self.two = {k: -math.log(p) for k, p in p2.items()}
-        self.three = {(a, b, c): -math.log(p2[b, c] + three * n / before2[a, b]) for a, b, c, n in trigrams}
+        self.three = {(a, b, c): -math.log(p2[b, c] + three * n / before2[a, b]) for (a, b, c), n in triples.items()}
+
+    @staticmethod
+    def _before(known: dict, longer: dict) -> dict:
+        """How often each beginning of a longer sequence comes up: at least as often as the sequences that begin with it."""
+        found: Counter = Counter()
+        for key, n in longer.items():
+            found[key[0] if len(key) == 2 else key[:2]] += n
+        return {k: max(n, known.get(k, 0)) for k, n in found.items()}
 
     def cost(self, s: list[str]) -> float:
         """Nats per symbol, the end included."""
@@ -299,7 +316,9 @@ def _line(model: ProseModel, line: str, s: list[str], words: float, broken: floa
         if _ENCLOSED.match(line) and (cost <= HIGH + LEEWAY or not _LISTED(line)):
             return Line(cost, words, True)
         return Line(model.cost([x for x in s if x not in "*()[]"]), words, False)
-    return Line(cost, words, bool(_SUNG.match(line)))
+    # a line behind a note is sung; behind a weaker mark only if what follows reads as a lyric may
+    sung = _SUNG.match(line) and ("♪" in s or "♫" in s or model.cost([x for x in s if x not in _NOTES]) <= HIGH + LEEWAY)
+    return Line(cost, words, bool(sung))
 
 
 def line_scores(model: ProseModel, text: str, remembered: dict) -> list[Line]:
@@ -370,12 +389,11 @@ def page_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", low: f
     """(doc_id, cost, keyword_words, words) of every row.
 
     cost is the mean of nats per symbol over the lines, weighted by words. Null, empty and blank texts, and those
-    without words, have a null cost and 0 words. The model is trained on all documents that read like prose; it has at
-    most MAX_TRIGRAMS entries, whatever the corpus, and is all that goes through the driver. If no document reads like
-    prose, every line is abnormal. Repeated rows and copies are scored each.
+    without words, have a null cost and 0 words. The model is trained on all documents that read like prose; its size is
+    bounded by MIN_SHARE, whatever the corpus, and it is all that goes through the driver. If no document reads like prose,
+    every line is abnormal. Repeated rows and copies are scored each.
     """
-    trigrams = [tuple(r) for r in prose_counts(docs, text).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(trigrams)
+    shared = docs.sparkSession.sparkContext.broadcast(prose_counts(docs, text))
     return spread(only(docs, key, text)).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _scorer(shared, low, high), "doc_id bigint, cost double, keyword_words double, words double"
     )

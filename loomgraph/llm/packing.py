@@ -16,8 +16,8 @@ from loomgraph.session import only, spread
 CAPACITY = 2048
 #: documents packed together: large enough that the last containers of a group weigh little, small enough for one task
 GROUP_DOCS = 8192
-#: share of further bins that conflicts may cost
-SLACK = 0.02
+#: copies of a row that are listed at a time
+COPIES = 10_000
 PACKED = "doc_id bigint, piece int, start_token bigint, n_tokens bigint, container_id bigint"
 
 
@@ -81,12 +81,13 @@ class Bins:
         return b
 
 
-def pack(items: list[tuple[int, int, int, str | None]], capacity: int = CAPACITY, part_sources: bool = False) -> Iterator[tuple[int, int, int, int, int | None]]:
+def pack(items: list[tuple[int, int, int, str | None]], capacity: int = CAPACITY, part_sources: bool = False, slack: float | None = None) -> Iterator[tuple[int, int, int, int, int | None]]:
     """(doc, piece, start, size, bin) for items (doc, size, cluster, source), largest piece first.
 
     Only an item above the capacity is divided: into full containers and a rest, which is packed like an item. Clusters
-    with more copies than a quarter of the bins come before all others, to be spread while bins are empty. Conflicts
-    may cost SLACK of the bins that the total size calls for; copies beyond that share bins.
+    with more copies than a quarter of the bins come before all others, to be spread while bins are empty. No container
+    holds two items of a cluster, unless `slack` is given: then conflicts may cost this share of the bins that the
+    total size calls for, and copies beyond that share bins.
     """
     cluster_of: dict[int, int] = {}
     source_of: dict[str | None, int] = {}
@@ -103,7 +104,7 @@ def pack(items: list[tuple[int, int, int, str | None]], capacity: int = CAPACITY
     least = -(-sum(x[0] for x in rests) // capacity)
     copies = Counter(x[4] for x in rests)
     rests.sort(key=lambda x: (4 * copies[x[4]] <= least, -x[0], x[1] is None, x[1] or 0))
-    bins = Bins(capacity, math.ceil(least * (1 + SLACK)))
+    bins = Bins(capacity, None if slack is None else math.ceil(least * (1 + slack)))
     for size, doc, piece, start, cluster, source in rests:
         b = bins.place(size, cluster_of.setdefault(cluster, len(cluster_of)), source_of.setdefault(source, len(source_of)), part_sources)
         yield doc, piece, start, size, b
@@ -112,11 +113,11 @@ def pack(items: list[tuple[int, int, int, str | None]], capacity: int = CAPACITY
         yield doc, piece, start, size, next_full + k
 
 
-def _pack_group(capacity: int, part_sources: bool):
+def _pack_group(capacity: int, part_sources: bool, slack: float | None):
     def run(group: pa.Table) -> pa.Table:
         base = group.column("pack_group")[0].as_py() << 32
         items = list(zip(*(group.column(c).to_pylist() for c in ("doc_id", "n_tokens", "cluster", "source"))))
-        rows = list(pack(items, capacity, part_sources))
+        rows = list(pack(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, *x[1:3], x[3] is None, x[3] or "")), capacity, part_sources, slack))
         doc, piece, start, size, bin_ = zip(*rows)
         return pa.table(
             {
@@ -128,16 +129,18 @@ def _pack_group(capacity: int, part_sources: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, vocabulary: str = VOCABULARY, part_sources: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, vocabulary: str = VOCABULARY, part_sources: bool = False, slack: float | None = None) -> DataFrame:
     """(doc_id, piece, start_token, n_tokens, container_id): every text in containers of `capacity` tokens.
 
-    Documents are spread by a hash of doc_id and of their place in the task that read them over groups of about
-    `group_docs`, as many as the corpus needs, also if many share an id; each group is packed by itself, so no task
-    holds more than a group, and only the last containers of a group stay open.
+    Documents are spread by a hash over groups of about `group_docs`, as many as the corpus needs; each group is packed by
+    itself, so no task holds more than a group, and only the last containers of a group stay open. Equal rows are
+    counted first and then numbered, and the hash takes in the number: they are spread too, however many there are,
+    and the containers don't depend on tasks.
 
-    A container holds two texts of a duplicate cluster (equal but for case and white space) only if a group has more
-    copies than it has containers, give or take SLACK; of equally tight containers one without the text's source is
-    taken. With part_sources equal sources conflict as well, which with few sources leaves much space unused.
+    No container holds two texts of a duplicate cluster (equal but for case and white space); a group with more copies
+    than it needs containers opens further ones, unless `slack` bounds their share. Of equally tight containers one
+    without the text's source is taken. With part_sources equal sources conflict as well, which with few sources
+    leaves most of the space unused.
 
     Texts above the capacity are divided at multiples of it. Null and empty texts have no tokens and come out with
     piece 0 and a null container. A null source is a source of its own. Equal doc_ids are packed as separate items.
@@ -145,5 +148,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int =
     n_groups = max(1, -(-docs.count() // group_docs))
     flat = F.regexp_replace(F.lower("text"), r"\s+", " ")
     items = spread(only(docs, "doc_id", "source", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.xxhash64(flat).alias("cluster"), "text")
-    counted = with_token_counts(items, vocabulary).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "place"), F.lit(n_groups))).drop("place")
-    return counted.groupBy("pack_group").applyInArrow(_pack_group(capacity, part_sources), PACKED)
+    counted = with_token_counts(items, vocabulary).groupBy("doc_id", "source", "cluster", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    copies = F.sequence(F.col("block") * COPIES, F.least(F.col("n"), (F.col("block") + 1) * COPIES) - 1)
+    each = blocks.select("doc_id", "source", "cluster", "n_tokens", F.explode(copies).alias("copy")).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "cluster", "source", "copy"), F.lit(n_groups))).drop("copy")
+    return each.groupBy("pack_group").applyInArrow(_pack_group(capacity, part_sources, slack), PACKED)

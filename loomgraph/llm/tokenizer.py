@@ -164,19 +164,16 @@ def _counter(vocabulary: _Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], It
 
         split = regex.compile(PATTERN).findall
         size = _Words(_ranks(vocabulary), len).__getitem__
-        place = 0
         for batch in batches:
             at = batch.schema.get_field_index("text")
             counts = [sum(map(size, split(text))) if text else 0 for text in (x.as_py() for x in batch.column(at))]
             kept = [(name, batch.column(k)) for k, name in enumerate(batch.schema.names) if k != at]
-            places = pa.array(range(place, place + batch.num_rows), pa.int64())
-            place += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(counts, pa.int64()), places], names=[*(n for n, _ in kept), "n_tokens", "place"])
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(counts, pa.int64())], names=[*(n for n, _ in kept), "n_tokens"])
 
     return run
 
 
 def with_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Replace the column `text` by n_tokens, the number of its ids (0 for null and empty texts), and place, the row's place in its task."""
+    """Replace the column `text` by n_tokens, the number of its ids (0 for null and empty texts)."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_counter(share(docs, vocabulary)), f"{kept}, n_tokens bigint, place bigint")
+    return docs.mapInArrow(_counter(share(docs, vocabulary)), f"{kept}, n_tokens bigint")

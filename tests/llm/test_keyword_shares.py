@@ -24,5 +24,6 @@ def test_broken_and_bracketed_keywords(spark):
     starred = "* cheap shoes\n* wall clock\n* running shoes\n* garden rope\n" * 3
     bracketed = "[shoes] [clock] [rope]\n[garden] [shoes] [lamp]\n" * 4
     speech = "\n".join("".join("�" if c in "áéíóúñ¿" else c for c in x) for x in SPEECH[1].splitlines())
-    sounds = "[door creaks]\n(a man sighs)\n* la la la *\n♪ oh my love\n(man) Where is he?\n" * 4
-    assert _found(spark, [broken, han, starred, bracketed, speech, sounds]) == {1000, 1001, 1002, 1003}
+    marked = "# cheap shoes nike running shoes buy clock rope\n# wall clock garden rope lamp shoes cheap nike\n" * 6
+    sounds = "# I don't know where he was #\n[door creaks]\n(a man sighs)\n* la la la *\n♪ oh my love\n(man) Where is he?\n" * 4
+    assert _found(spark, [broken, han, starred, bracketed, marked, speech, sounds]) == {1000, 1001, 1002, 1003, 1004}

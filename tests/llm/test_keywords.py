@@ -57,7 +57,7 @@ def test_repair(times):
 def test_lost_line_ends_and_long_texts(spark):
     joined = " ".join(x for x in SPEECH[0].split("\n") if x) + " " + "cheap shoes, wall clock, " * 5
     assert len(kp.pieces(" ".join(["It is here. Where is he?"] * 50))) == 100
-    model = kp.ProseModel([("<s>", "<s>", "i", 5), ("<s>", "i", "am", 5), ("i", "am", "</s>", 5)])
+    model = kp.ProseModel([("<s>", "<s>", "i", 5), ("<s>", "i", "am", 5), ("i", "am", "</s>", 5), (None, "<s>", "i", 5), (None, "i", "am", 5), (None, "am", "</s>", 5), (None, None, "i", 5), (None, None, "am", 5), (None, None, "</s>", 5)])
     assert model.cost(["i", "am"]) < 0.5 < model.cost(["LOW", "LOW"])
     assert kp.line_scores(model, joined, {}) and kp.line_scores(model, "x " * 200_000, {})
 
