@@ -1,4 +1,4 @@
-"""Optimizer steps on vectors, sparse updates of node tables, and a training loop."""
+"""Optimizer steps on vectors, and sparse updates of node tables."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from loomgraph.functions import vectors as V
 from loomgraph.functions.hashing import unit
 from loomgraph.operators.scoring import gathered
-from loomgraph.session import written
 
 SPARSE_EPS = 1e-10  # fixed value of the sparse update
 
@@ -28,8 +27,9 @@ def adagrad(p: Column, g: Column, s: Column, lr: float, eps: float = 1e-10, step
     return F.zip_with(p, step, lambda x, d: x - d), new_s
 
 
-def adam(p: Column, g: Column, m: Column, v: Column, lr: float, step: int = 1, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8, amsgrad: Column | None = None) -> tuple[Column, Column, Column, Column]:
+def adam(p: Column, g: Column, m: Column, v: Column, lr: float, step: int = 1, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8, amsgrad: Column | None = None, weight_decay: float = 0.0) -> tuple[Column, Column, Column, Column]:
     """New parameters, first and second moments, and greatest second moments, bias-corrected for `step` from 1."""
+    g = F.zip_with(g, p, lambda y, x: y + weight_decay * x) if weight_decay else g
     new_m = F.zip_with(m, g, lambda a, y: b1 * a + (1 - b1) * y)
     new_v = F.zip_with(v, g, lambda a, y: b2 * a + (1 - b2) * y * y)
     top = F.zip_with(amsgrad, new_v, lambda a, b: F.greatest(a, b)) if amsgrad is not None else new_v
@@ -91,14 +91,6 @@ def fans(shape: tuple[int, ...]) -> tuple[int, int]:
     return shape[-2], shape[-1]
 
 
-def train_links(edges: DataFrame, nodes: DataFrame, rels: DataFrame, epochs: int, lr: float, dim: int) -> DataFrame:
-    """(id, vec, state) after full-batch epochs; each epoch's table is written to the shared folder, which cuts lineage and survives lost executors."""
-    for epoch in range(epochs):
-        grads = distmult_mse_gradients(edges, nodes, rels)
-        nodes = written(sparse_adagrad(nodes, grads, lr, dim), f"epoch-{epoch}")
-    return nodes
-
-
 def normal_vectors(ids: DataFrame, dim: int, mean: float, std: float, seed: int = 0) -> DataFrame:
     """(id, vec): normal values by hash, from two even ones each."""
     one = lambda j: mean + std * F.sqrt(-2 * F.log(1 - unit(seed, "id", F.lit(f"{j}u")))) * F.cos(unit(seed, "id", F.lit(f"{j}v")) * (2 * math.pi))

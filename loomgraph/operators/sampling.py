@@ -125,8 +125,10 @@ def mixed_negatives(spark: SparkSession, placed: DataFrame, n_edges: int, n_node
 
 def local_matches(chunked: DataFrame, negatives: DataFrame, known: DataFrame) -> DataFrame:
     """(edge_id, neg_id): negatives that make an edge with dst replaced equal to one in known (src, rel, dst)."""
-    candidates = chunked.join(sent_if_small(negatives, 32), "chunk_id").select("edge_id", "neg_id", "src", "rel", F.col("node").alias("dst"))
-    return candidates.join(known.select("src", "rel", "dst").distinct(), ["src", "rel", "dst"], "left_semi").select("edge_id", "neg_id")
+    # known edges first: of all pairs of a chunk only those become rows that are known
+    places = chunked.select("src", "rel", "chunk_id").distinct().join(known.select("src", "rel", "dst").distinct(), ["src", "rel"])
+    hits = places.join(negatives.select("chunk_id", "neg_id", F.col("node").alias("dst")), ["chunk_id", "dst"])
+    return chunked.select("edge_id", "src", "rel", "chunk_id").join(hits, ["src", "rel", "chunk_id"]).select("edge_id", "neg_id")
 
 
 def own_chunk_matches(chunked: DataFrame, negatives: DataFrame, chunk_size: int) -> DataFrame:
@@ -136,8 +138,8 @@ def own_chunk_matches(chunked: DataFrame, negatives: DataFrame, chunk_size: int)
 
 
 def known_ends(queries: DataFrame, known: DataFrame) -> DataFrame:
-    """(edge_id, dst): every dst that known edges give for the src and rel of a query edge, its own included: the global filter."""
-    return queries.select("edge_id", "src", "rel").join(known.select("src", "rel", "dst").distinct(), ["src", "rel"]).select("edge_id", "dst")
+    """(src, rel, dst): every dst that known edges give for the src and rel of some query edge: the global filter, listed once for all edges of a src and rel."""
+    return known.select("src", "rel", "dst").distinct().join(queries.select("src", "rel").distinct(), ["src", "rel"], "left_semi")
 
 
 def filtered_negative_counts(queries: DataFrame, known: DataFrame, n_nodes: int) -> DataFrame:

@@ -6,15 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors as V
-from loomgraph.session import BROADCAST_BYTES, sent_if_small
+from loomgraph.session import BROADCAST_BYTES, sent_if_small, written
 
 MASKED = -1e9  # fixed value: score of a negative that is a known edge
 #: a node table beyond BROADCAST_BYTES is visited in blocks of so many nodes, a large relation table likewise
-BLOCK_NODES, BLOCK_RELS = 4096, 1024
+BLOCK_NODES, BLOCK_RELS = 65_536, 1024
+#: steps that the scores of known edges are divided into, so that those of a hub are ordered in as many tasks
+STEPS = 1024
 #: bytes of a row with a vector, for the decision what to send to every worker
 VECTOR_ROW = 1024
 
@@ -42,8 +46,12 @@ def edge_scores(edges: DataFrame, nodes: DataFrame, rels: DataFrame, decoder: st
 
 def inverse_scores(edges: DataFrame, nodes: DataFrame, inverse_rels: DataFrame, decoder: str) -> DataFrame:
     """Append score of the inverse edges, from dst to src under the inverse relation."""
-    swap = lambda df: df.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in df.columns])
-    return swap(edge_scores(swap(edges), nodes, inverse_rels, decoder))
+    return swapped(edge_scores(swapped(edges), nodes, inverse_rels, decoder))
+
+
+def swapped(edges: DataFrame) -> DataFrame:
+    """Edges the other way round."""
+    return edges.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in edges.columns])
 
 
 def chunk_scores(chunked: DataFrame, negatives: DataFrame, nodes: DataFrame, rels: DataFrame, decoder: str) -> DataFrame:
@@ -56,6 +64,38 @@ def chunk_scores(chunked: DataFrame, negatives: DataFrame, nodes: DataFrame, rel
     return each.join(sent_if_small(negs, VECTOR_ROW, negatives), "chunk_id").select("edge_id", "neg_id", "node", DECODERS[decoder](F.col("vs"), F.col("vr"), F.col("vn")).alias("score"))
 
 
+def chunk_rows(chunked: DataFrame, negatives: DataFrame, nodes: DataFrame, rels: DataFrame, decoder: str, dim: int) -> DataFrame:
+    """(edge_id, score, negs): each edge in one row with the scores of its chunk's negatives as dst, in order of neg_id.
+
+    The other side is had with swapped() edges and inverse relations. Scores are matrix products of a batch with the
+    negatives of a chunk, which go to every worker if they are few enough, and else to the chunk's edges.
+    """
+    each = gathered(chunked, nodes, rels).select("edge_id", "chunk_id", "vs", "vr", "vd")
+    negs = negatives.join(nodes.select(F.col("id").alias("node"), F.col("vec").alias("vn")), "node").select("chunk_id", "neg_id", "vn")
+    if negatives.count() * VECTOR_ROW <= BROADCAST_BYTES:
+        found = negs.orderBy("chunk_id", "neg_id").toArrow().combine_chunks()
+        chunk = np.asarray(found["chunk_id"])
+        matrices = {int(c): _rows(pc.list_flatten(found["vn"].filter(pa.array(chunk == c))).combine_chunks(), dim, flat=True) for c in np.unique(chunk)}
+        shared = chunked.sparkSession.sparkContext.broadcast(matrices)
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                chunks = np.asarray(b.column("chunk_id"))
+                for c in np.unique(chunks):
+                    part = b.filter(pa.array(chunks == c))
+                    s, r, d = (_rows(part.column(k), dim) for k in ("vs", "vr", "vd"))
+                    lists = _np_scores(decoder, s, r, shared.value.get(int(c), np.zeros((0, dim))))
+                    ends = pa.array(np.arange(len(s) + 1) * lists.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([part.column("edge_id"), pa.array(_np_pairs(decoder, s, r, d)), pa.ListArray.from_arrays(ends, pa.array(lists.ravel()))], names=["edge_id", "score", "negs"])
+
+        return each.mapInArrow(scored, "edge_id bigint, score double, negs array<double>")
+    lists = negs.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("neg_id", "vn"))).alias("vns"))  # as many as a chunk has negatives
+    score = DECODERS[decoder]
+    return each.join(lists, "chunk_id", "left").select(
+        "edge_id", score(F.col("vs"), F.col("vr"), F.col("vd")).alias("score"), F.transform(F.coalesce("vns", F.array().cast("array<struct<neg_id:bigint,vn:array<double>>>")), lambda x: score(F.col("vs"), F.col("vr"), x["vn"])).alias("negs")
+    )
+
+
 def relation_scores(edges: DataFrame, nodes: DataFrame, rels: DataFrame, decoder: str) -> DataFrame:
     """(edge_id, rel, score): each edge under every relation. A small relation table goes to every worker as one array; of a larger one each edge visits all blocks."""
     side = lambda c, v: nodes.select(F.col("id").alias(c), F.col("vec").alias(v))
@@ -85,22 +125,41 @@ def ranks(positives: DataFrame, negatives: DataFrame) -> DataFrame:
 
 def _np_scores(decoder: str, s: np.ndarray, r: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Scores of queries (rows of s and r) against all rows of n."""
-    if decoder == "distmult":
-        return (s * r) @ n.T
-    if decoder == "complex":
-        h = s.shape[1] // 2
-        q = np.concatenate([s[:, :h] * r[:, :h] - s[:, h:] * r[:, h:], s[:, :h] * r[:, h:] + s[:, h:] * r[:, :h]], 1)
-        return q @ n.T
+    if decoder in ("distmult", "complex"):
+        return query_vectors(decoder, s, r) @ n.T
     if decoder == "transe":
-        q = s + r
+        q = query_vectors(decoder, s, r)
         return -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (n * n).sum(1)[None] - 2 * q @ n.T, V.NORM_FLOOR))
     if decoder == "cosine":
         return (s @ n.T) / np.maximum(np.linalg.norm(s, axis=1)[:, None] * np.linalg.norm(n, axis=1)[None], 1e-300)
     raise ValueError(f"no such decoder: {decoder}")
 
 
-def _rows(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+def _np_pairs(decoder: str, s: np.ndarray, r: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The score of each row of s and r with its row of d."""
+    return np.array([_np_scores(decoder, s[i : i + 1], r[i : i + 1], d[i : i + 1])[0, 0] for i in range(len(s))]) if decoder == "transe" else _np_dots(decoder, s, r, d)
+
+
+def _np_dots(decoder: str, s: np.ndarray, r: np.ndarray, d: np.ndarray) -> np.ndarray:
+    if decoder == "cosine":
+        return (s * d).sum(1) / np.maximum(np.linalg.norm(s, axis=1) * np.linalg.norm(d, axis=1), 1e-300)
+    return (query_vectors(decoder, s, r) * d).sum(1)
+
+
+def query_vectors(decoder: str, s: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """What is compared with dst by a dot product (distmult, complex) or by distance (transe)."""
+    if decoder == "distmult":
+        return s * r
+    if decoder == "complex":
+        h = s.shape[1] // 2
+        return np.concatenate([s[:, :h] * r[:, :h] - s[:, h:] * r[:, h:], s[:, :h] * r[:, h:] + s[:, h:] * r[:, :h]], 1)
+    if decoder == "transe":
+        return s + r
+    raise ValueError(f"no such decoder: {decoder}")
+
+
+def _rows(column: pa.Array, dim: int, flat: bool = False) -> np.ndarray:
+    return np.asarray(column if flat else column.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
 def beaten_by_all(queries: DataFrame, nodes: DataFrame, decoder: str, dim: int) -> DataFrame:
@@ -118,7 +177,7 @@ def beaten_by_all(queries: DataFrame, nodes: DataFrame, decoder: str, dim: int)
         return (np.round(_np_scores(decoder, s, r, matrix), 9) >= p[:, None]).sum(1)
 
     if n * dim * 8 <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast(np.array([x[0] for x in nodes.select("vec").collect()], dtype=np.float64).reshape(-1, dim))
+        shared = spark.sparkContext.broadcast(_rows(pc.list_flatten(nodes.select("vec").toArrow()["vec"]).combine_chunks(), dim, flat=True))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -145,19 +204,45 @@ def all_node_ranks(edges: DataFrame, nodes: DataFrame, rels: DataFrame, decoder:
     """(edge_id, rank) of edges against all nodes as dst.
 
     Unfiltered, the edge itself is one of its negatives, so its rank is 2 at best. With `known` edges (src, rel, dst)
-    all of those are left out of the negatives: they are few, so they are scored one by one and subtracted.
+    all of those are left out of the negatives: they are scored one by one, counted and subtracted.
     """
     g = gathered(edges, nodes, rels)
     q = g.select("edge_id", "vs", "vr", DECODERS[decoder](F.col("vs"), F.col("vr"), F.col("vd")).alias("score"))
     beat = beaten_by_all(q, nodes, decoder, dim)
     if known is None:
         return beat.select("edge_id", (F.col("n_beat") + 1).alias("rank"))
-    pos = edge_scores(edges, nodes, rels, decoder).select("edge_id", "src", "rel", F.round("score", 9).alias("p"))
-    others = edge_scores(known.select("src", "rel", "dst").distinct(), nodes, rels, decoder).select("src", "rel", F.round("score", 9).alias("k"))
-    drop = pos.join(others, ["src", "rel"]).filter("k >= p").groupBy("edge_id").agg(F.count(F.lit(1)).alias("n_known"))
+    pos = edge_scores(edges, nodes, rels, decoder).select("edge_id", "src", "rel", F.round("score", 9).alias("score"))
+    others = edge_scores(known.select("src", "rel", "dst").distinct(), nodes, rels, decoder).select("src", "rel", F.round("score", 9).alias("score"))
+    drop = known_at_least(pos, others)
     return beat.join(drop, "edge_id", "left").select("edge_id", (F.col("n_beat") - F.coalesce("n_known", F.lit(0)) + 1).alias("rank"))
 
 
+def known_at_least(positives: DataFrame, known: DataFrame) -> DataFrame:
+    """(edge_id, n_known) of positives (edge_id, src, rel, score): the known (src, rel, score) of equal src and rel that score at least as well.
+
+    No pair is a row: both are put in order together and counted. The order is taken step by step of the score, with the
+    steps' counts as offsets, so the edges of a hub are in as many tasks as its scores have steps.
+    """
+    none = F.lit(None).cast("bigint")
+    both = written(positives.select("edge_id", "src", "rel", "score", F.lit(0).alias("n")).unionByName(known.select(none.alias("edge_id"), "src", "rel", "score", F.lit(1).alias("n"))), "ordered")
+    lo, hi = both.agg(F.min("score"), F.max("score")).first()
+    width = max((hi or 0.0) - (lo or 0.0), 1e-9) / STEPS
+    stepped = both.withColumn("step", F.floor((F.col("score") - (lo or 0.0)) / width))
+    counts = stepped.groupBy("src", "rel", "step").agg(F.sum("n").alias("n"))
+    above = W.partitionBy("src", "rel").orderBy(F.col("step").desc()).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("src", "rel", "step", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    within = W.partitionBy("src", "rel", "step").orderBy(F.col("score").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    placed = stepped.withColumn("within", F.sum("n").over(within)).filter(F.col("edge_id").isNotNull())
+    return placed.join(offsets, ["src", "rel", "step"]).select("edge_id", (F.col("above") + F.col("within")).alias("n_known"))
+
+
+def both_side_ranks(edges: DataFrame, nodes: DataFrame, rels: DataFrame, inverse_rels: DataFrame, decoder: str, dim: int, known: DataFrame | None = None) -> DataFrame:
+    """(edge_id, side, rank): two ranks an edge, against all nodes as dst, and as src under the inverse relations."""
+    dst = all_node_ranks(edges, nodes, rels, decoder, dim, known)
+    src = all_node_ranks(swapped(edges), nodes, inverse_rels, decoder, dim, None if known is None else swapped(known))
+    return dst.select("edge_id", F.lit("dst").alias("side"), "rank").unionByName(src.select("edge_id", F.lit("src").alias("side"), "rank"))
+
+
 def mrr(r: str = "rank") -> Column:
     return F.avg(1.0 / F.col(r))
 
@@ -203,24 +288,28 @@ def pointwise_loss(kind: str, score: Column, y: Column) -> Column:
     raise ValueError(f"no such loss: {kind}")
 
 
-def link_loss(kind: str, positives: DataFrame, negatives: DataFrame, margin: float = 0.1) -> DataFrame:
-    """One row (loss_sum, loss_mean). positives (edge_id, score), negatives (edge_id, score).
+def chunk_ranks(scored: DataFrame) -> DataFrame:
+    """(edge_id, rank) of chunk_rows: 1 + the negatives that score at least as well, to 9 decimals."""
+    p = F.round("score", 9)
+    return scored.select("edge_id", (1 + F.size(F.filter("negs", lambda n: F.round(n, 9) >= p))).cast("bigint").alias("rank"))
+
+
+def link_loss(kind: str, scored: DataFrame, margin: float = 0.1) -> DataFrame:
+    """One row (loss_sum, loss_mean) of chunk_rows (edge_id, score, negs), in one pass.
 
     softmax_ce and cross_entropy: of the edge among itself and its negatives. ranking: over all pairs. Others: over all
-    scores, with target 1 for edges and 0 for negatives.
+    scores, with target 1 for edges and 0 for negatives. Without rows the sum and the mean are null.
     """
+    p, total = F.col("score"), lambda f: F.aggregate(F.transform("negs", f), F.lit(0.0), lambda a, x: a + x)
     if kind in ("softmax_ce", "cross_entropy"):
-        union = positives.select("edge_id", "score").unionByName(negatives.select("edge_id", "score"))
-        top = union.groupBy("edge_id").agg(F.max("score").alias("m"))
-        lse = union.join(top, "edge_id").groupBy("edge_id").agg((F.first("m") + F.log(F.sum(F.exp(F.col("score") - F.col("m"))))).alias("lse"))
-        each = positives.join(lse, "edge_id").select((F.col("lse") - F.col("score")).alias("x"))
+        m = F.greatest(p, F.coalesce(F.array_max("negs"), p))
+        x, n = m + F.log(F.exp(p - m) + total(lambda s: F.exp(s - m))) - p, F.lit(1)
     elif kind == "ranking":
-        pairs = negatives.select("edge_id", F.col("score").alias("n")).join(positives.select("edge_id", F.col("score").alias("p")), "edge_id")
-        each = pairs.select(F.greatest(F.col("n") - F.col("p") + margin, F.lit(0.0)).alias("x"))
+        x, n = total(lambda s: F.greatest(s - p + margin, F.lit(0.0))), F.size("negs")
     else:
-        union = positives.select("score", F.lit(1.0).alias("y")).unionByName(negatives.select("score", F.lit(0.0).alias("y")))
-        each = union.select(pointwise_loss(kind, F.col("score"), F.col("y")).alias("x"))
-    return each.agg(F.sum("x").alias("loss_sum"), F.avg("x").alias("loss_mean"))
+        x, n = pointwise_loss(kind, p, F.lit(1.0)) + total(lambda s: pointwise_loss(kind, s, F.lit(0.0))), F.size("negs") + 1
+    each = scored.select(x.alias("x"), n.alias("n"))
+    return each.agg(F.sum("x").alias("loss_sum"), F.try_divide(F.sum("x"), F.sum("n")).alias("loss_mean"))
 
 
 def class_loss(logits: DataFrame) -> DataFrame:

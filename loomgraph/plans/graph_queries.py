@@ -205,7 +205,7 @@ def degree_filter(spark, d):
 
 def known_edge_filter(spark, d):
     e = _graph(spark, d)
-    return sampling.known_ends(e, e).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n_known"))
+    return sampling.known_ends(e, e).groupBy("src", "rel").agg(F.count(F.lit(1)).alias("n_known"))
 
 
 def negatives_all_filtered(spark, d):
@@ -302,7 +302,7 @@ SQL = {
     "negatives_mixed": f"WITH {_CHUNKED}, {_MIXED} SELECT * FROM mx",
     "local_filter": f"WITH {_CHUNKED}, {_UNIFORM} SELECT gc.edge_id, neg_id FROM gc JOIN un ON un.chunk_id = gc.chunk_id JOIN g ON g.src = gc.src AND g.rel = gc.rel AND g.dst = un.node",
     "degree_filter": f"WITH {_CHUNKED}, {_MIXED} SELECT gc.edge_id, neg_id FROM mx JOIN gc ON gc.pos = mx.edge_pos WHERE gc.chunk_id = mx.chunk_id",
-    "known_edge_filter": f"WITH {TYPED}, k AS (SELECT DISTINCT src, rel, dst FROM e) SELECT e.edge_id, count(*) AS n_known FROM e JOIN k ON k.src = e.src AND k.rel = e.rel GROUP BY 1",
+    "known_edge_filter": f"WITH {TYPED} SELECT src, rel, count(DISTINCT dst) AS n_known FROM e GROUP BY 1, 2",
     "negatives_all_filtered": f"WITH {TYPED}, k AS (SELECT src, rel, count(DISTINCT dst) AS n FROM e GROUP BY 1, 2) SELECT edge_id, (SELECT count(*) FROM part) - n AS n_negatives FROM e JOIN k ON k.src = e.src AND k.rel = e.rel",
     "known_edge_antijoin": f"WITH {TYPED}, s AS (SELECT edge_id, src, CASE rel WHEN 'A' THEN 'N' WHEN 'N' THEN 'R' ELSE 'A' END AS rel, dst FROM e) SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = s.src AND e.rel = s.rel AND e.dst = s.dst)",
     "all_edges": f"WITH {TYPED} SELECT src, 2 * count(*) AS n_edges FROM e GROUP BY src",

@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors as V
-from loomgraph.functions.hashing import digest_sql, draw_sql, unit_sql
-from loomgraph.operators import gnn, optim, sampling, scoring
+from loomgraph.functions.hashing import digest_sql, draw, draw_sql, unit_sql
+from loomgraph.operators import gnn, optim, sampling, scoring, train
 from loomgraph.operators.order import hash_positions, with_chunks
-from loomgraph.plans.views import FACTS, VECTOR_EDGES, VECTORS, facts, node_vectors, vector_edges
+from loomgraph.plans.views import FACTS, HUB_EDGES, LINES, VECTOR_EDGES, VECTORS, facts, hub_edges, lines, node_vectors, vector_edges
 from loomgraph.session import table
 
 DIM, OUT, CHUNKS, PER_CHUNK = 64, 8, 10, 16
@@ -41,11 +41,11 @@ def _exploded(df, key="id", vec="vec"):
 
 
 def _score(decoder, spark, d):
-    return _rounded(scoring.edge_scores(facts(spark, d), _nodes(spark, d), _rels(spark, d), decoder).select("edge_id", "score"), "score")
+    return _rounded(scoring.edge_scores(lines(spark, d), _nodes(spark, d), _rels(spark, d), decoder).select("edge_id", "score"), "score")
 
 
 def score_inverse(spark, d):
-    return _rounded(scoring.inverse_scores(facts(spark, d), _nodes(spark, d), _rels(spark, d, 2), "complex").select("edge_id", "score"), "score")
+    return _rounded(scoring.inverse_scores(lines(spark, d), _nodes(spark, d), _rels(spark, d, 2), "complex").select("edge_id", "score"), "score")
 
 
 def score_relations(spark, d):
@@ -53,7 +53,7 @@ def score_relations(spark, d):
 
 
 def relation_operators(spark, d):
-    g = scoring.gathered(facts(spark, d), _nodes(spark, d), _rels(spark, d))
+    g = scoring.gathered(lines(spark, d), _nodes(spark, d), _rels(spark, d))
     c = V.complex_product(F.col("vs"), F.col("vr"))
     out = g.select("edge_id", V.total(V.hadamard(F.col("vs"), F.col("vr"))).alias("had"), V.total(V.translate(F.col("vs"), F.col("vr"))).alias("trans"), c[0].alias("re0"), c[DIM // 2].alias("im0"))
     return _rounded(out, "had", "trans", "re0", "im0")
@@ -88,8 +88,18 @@ def score_masked(spark, d):
     return _rounded(scoring.masked(_pos_neg(spark, d)[1].select("edge_id", "neg_id", "score"), matches), "score")
 
 
+def _scored(spark, d, edges=None, rels=None, decoder="distmult"):
+    return scoring.chunk_rows(_chunked(spark, d) if edges is None else edges, _negatives(spark, d), _nodes(spark, d), _rels(spark, d) if rels is None else rels, decoder, DIM)
+
+
 def rank_chunks(spark, d):
-    return scoring.ranks(*_pos_neg(spark, d))
+    return scoring.chunk_ranks(_scored(spark, d))
+
+
+def score_chunk_negatives_src(spark, d):
+    """The negatives of a chunk in place of src, under inverse relations."""
+    rows = _scored(spark, d, scoring.swapped(_chunked(spark, d)), _rels(spark, d, 2), "complex")
+    return _rounded(rows.select("edge_id", F.posexplode("negs").alias("neg_id", "score")), "score")
 
 
 def rank_unfiltered(spark, d):
@@ -110,6 +120,26 @@ def evaluate_links(spark, d):
     return r.agg(F.count(F.lit(1)).alias("n"), *[F.round(scoring.metric(m), 6).alias(m.lower().replace("@", "_")) for m in ("MRR", "MR", "HITS@1", "HITS@10")])
 
 
+def evaluate_links_both(spark, d):
+    """Two ranks an edge, src corrupted under inverse relations, filtered by all edges."""
+    e = facts(spark, d)
+    r = scoring.both_side_ranks(e, _nodes(spark, d), _rels(spark, d), _rels(spark, d, 2), "complex", DIM, known=e)
+    return r.groupBy("side").agg(F.count(F.lit(1)).alias("n"), *[F.round(scoring.metric(m), 6).alias(m.lower().replace("@", "_")) for m in ("MRR", "MR", "HITS@1", "HITS@10")])
+
+
+def rank_filtered_hub(spark, d):
+    """All edges of the edge list, whose hub holds a tenth of them, labels folded onto the nodes with vectors."""
+    e = hub_edges(spark, d)
+    return scoring.all_node_ranks(e, _nodes(spark, d), _rels(spark, d), "distmult", DIM, known=e)
+
+
+def rank_lines(spark, d):
+    """Ranks of all edges of vector_edges among 16 negatives a chunk, in one row an edge."""
+    e = lines(spark, d)
+    chunked = with_chunks(hash_positions(e, 62, ["edge_id"]), CHUNKS, e.count())
+    return scoring.chunk_ranks(_scored(spark, d, chunked))
+
+
 def _logits(spark, d):
     n = node_vectors(spark, d)
     centroids = n.groupBy("label").agg(V.sum_of_vectors("vec", DIM).alias("c"), F.count(F.lit(1)).alias("k"))
@@ -130,12 +160,11 @@ def loss_classes(spark, d):
 
 
 def _loss(kind, spark, d):
-    pos, neg = _pos_neg(spark, d)
-    return _rounded(scoring.link_loss(kind, pos, neg), "loss_sum", "loss_mean")
+    return _rounded(scoring.link_loss(kind, _scored(spark, d)), "loss_sum", "loss_mean")
 
 
 def norm_penalty(spark, d):
-    return _rounded(scoring.norm_penalty(facts(spark, d), _nodes(spark, d), 2, 0.01, DIM), "penalty")
+    return _rounded(scoring.norm_penalty(lines(spark, d), _nodes(spark, d), 2, 0.01, DIM), "penalty")
 
 
 def _pairs(spark, d):
@@ -193,7 +222,7 @@ def encoder(spark, d):
 
 
 def _grads(spark, d):
-    return optim.distmult_mse_gradients(facts(spark, d), _nodes(spark, d), _rels(spark, d))
+    return optim.distmult_mse_gradients(lines(spark, d), _nodes(spark, d), _rels(spark, d))
 
 
 def summed_gradients(spark, d):
@@ -239,18 +268,51 @@ def init_embeddings(spark, d):
     return _exploded(out)
 
 
-def train_link_prediction(spark, d):
-    """Two epochs, then the ranks' metrics; sums of floats differ in their last digits between runs, so there is no SQL for it."""
-    nodes = _nodes(spark, d).withColumn("state", F.array_repeat(F.lit(0.0), DIM))
-    trained = optim.train_links(facts(spark, d), nodes, _rels(spark, d), 2, 0.05, DIM).select("id", "vec")
-    r = scoring.all_node_ranks(facts(spark, d), trained, _rels(spark, d), "distmult", DIM, known=facts(spark, d))
-    return r.agg(F.round(scoring.mrr(), 3).alias("mrr"), F.round(scoring.hits(10), 3).alias("hits_10"))
+def _gradient(decoder, loss, spark, d):
+    """(kind, id, pos, val): one batch of all edges of lines, with STEP_NEGATIVES negatives in place of dst."""
+    negatives = spark.range(STEP_NEGATIVES).select((draw(63, "id") % table(spark, d, "embeddings").count()).alias("node"))
+    g = train.link_gradients(lines(spark, d), negatives, _nodes(spark, d), _rels(spark, d), decoder, loss, DIM)
+    total = g.groupBy("kind", "id").agg(V.sum_of_vectors("grad", DIM).alias("grad"))
+    return total.select("kind", "id", F.posexplode("grad").alias("pos", "val")).select("kind", "id", "pos", (F.round("val", 5) + 0.0).alias("val"))
+
+
+def class_gradient(spark, d):
+    return _exploded(train.class_gradients(_logits(spark, d), 0).select("id", F.col("grad").alias("vec")))
+
 
+def adam_decayed_step(spark, d):
+    m, v = F.array_repeat(F.lit(0.01), DIM), F.array_repeat(F.lit(0.02), DIM)
+    p = optim.adam(F.col("vec"), F.col("grad"), m, v, 0.1, 2, weight_decay=0.01)[0]
+    return _exploded(_with_grads(spark, d).select("id", p.alias("vec")))
 
+
+def train_link_prediction(spark, d):
+    """Two epochs over nine tenths of lines, and both ranks of the others after each; sums of floats differ in their last digits between runs, so there is no SQL for it."""
+    n = lines(spark, d).count()
+    held_out = draw(64, "edge_id") % 10 == 0
+    rels = _two_rels(spark, d).unionByName(_rels(spark, d).filter("rel = 2"))
+    zero = F.array_repeat(F.lit(0.0), DIM)
+    both = [rels.select(F.lit(k).alias("kind"), F.col("rel").cast("bigint").alias("id"), "vec", zero.alias("state")) for k in ("rel", "inverse")]
+    model = train.Model(_nodes(spark, d).withColumn("state", zero), both[0].unionByName(both[1]))
+    settings = train.Settings(batch_edges=-(-n // 2), negatives=50)
+    _, history = train.train(lines(spark, d).filter(~held_out), model, settings, 2, valid=lines(spark, d).filter(held_out))
+    return spark.createDataFrame([(h["epoch"], h["n"], round(h["mrr"], 3), round(h["hits_10"], 3)) for h in history], "epoch int, n bigint, mrr double, hits_10 double")
+
+
+def train_classifier(spark, d):
+    """Mean loss before each of three steps of a linear classifier on all labelled vectors."""
+    v = node_vectors(spark, d).select("vec", F.col("label").alias("y_true"))
+    n = v.agg(F.max("y_true")).first()[0] + 1
+    _, _, losses = train.train_classes(v, np.zeros((n, DIM)), np.zeros(n), 1.0, 3)
+    return spark.createDataFrame([(k, round(x, 6)) for k, x in enumerate(losses)], "step int, loss double")
+
+
+STEP_NEGATIVES = 4
+STEPS = (("distmult", "softmax_ce"), ("distmult", "ranking"), ("distmult", "bce_logits"), ("distmult", "mse"), ("distmult", "softplus"), ("complex", "softmax_ce"), ("transe", "softmax_ce"))
 LOSSES = ("softmax_ce", "cross_entropy", "ranking", "bce_sigmoid", "bce_logits", "mse", "softplus")
 QUERIES = {
     **{f"score_{k}": partial(_score, k) for k in ("distmult", "complex", "transe", "cosine", "l2")},
-    **{f.__name__: f for f in (score_inverse, score_relations, relation_operators, activations, score_chunk_negatives, score_masked, rank_chunks, rank_unfiltered, rank_filtered, evaluate_links)},
+    **{f.__name__: f for f in (score_inverse, score_relations, relation_operators, activations, score_chunk_negatives, score_masked, rank_chunks, rank_unfiltered, rank_filtered, evaluate_links, evaluate_links_both, rank_filtered_hub, rank_lines, score_chunk_negatives_src)},
     "mrr": partial(_metric, "MRR"), "mean_rank": partial(_metric, "MR"), "hits_at_k": partial(_metric, "HITS@10"),
     **{f.__name__: f for f in (predicted_classes, accuracy, loss_classes)},
     **{f"loss_{k}": partial(_loss, k) for k in LOSSES},
@@ -258,8 +320,9 @@ QUERIES = {
     **{f"segment_{k}": partial(_segment, k) for k in ("sum", "mean", "max")},
     **{f.__name__: f for f in (
         sage_mean_layer, sage_gcn_layer, gcn_layer, rgcn_layer, attention_softmax, gat_layer, encoder, summed_gradients, sgd_step, adagrad_step, adagrad_decayed_step, adam_step, update_embeddings, put_embeddings, init_embeddings,
-        train_link_prediction,
+        train_link_prediction, train_classifier, class_gradient, adam_decayed_step,
     )},
+    **{f"gradient_{a}_{b}": partial(_gradient, a, b) for a, b in STEPS},
 }
 
 _N = "(SELECT count(*) FROM embeddings)"
@@ -280,7 +343,8 @@ _SCORES = {
     "distmult": lambda s, r, d: _dot(_had(s, r), d), "complex": lambda s, r, d: _dot(_cplx(s, r), d), "transe": lambda s, r, d: f"-{_dist(_add(s, r), d)}",
     "cosine": lambda s, r, d: f"{_dot(s, d)} / (sqrt({_dot(s, s)}) * sqrt({_dot(d, d)}))", "l2": lambda s, r, d: _dist(s, d),
 }
-_FX = f"{VECTORS}, {FACTS}, fx AS (SELECT edge_id, src, rel, dst, s.vec AS vs, r.vec AS vr, t.vec AS vd FROM f JOIN v s ON s.id = src JOIN v t ON t.id = dst JOIN v r ON r.id = rel)"
+_GATHERED = "fx AS (SELECT edge_id, src, rel, dst, s.vec AS vs, r.vec AS vr, t.vec AS vd FROM f JOIN v s ON s.id = src JOIN v t ON t.id = dst JOIN v r ON r.id = rel)"
+_FX, _LX = f"{VECTORS}, {FACTS}, {_GATHERED}", f"{VECTORS}, {LINES}, {_GATHERED}"
 _CH = f"fc AS (SELECT *, (row_number() OVER (ORDER BY {digest_sql(60, 'edge_id')}, edge_id) - 1) // ceil(count(*) OVER () / {CHUNKS})::BIGINT AS chunk_id FROM fx)"
 _UN = f"un AS (SELECT k // {PER_CHUNK} AS chunk_id, k % {PER_CHUNK} AS neg_id FROM range({CHUNKS * PER_CHUNK}) r(k)), ng AS (SELECT chunk_id, neg_id, {draw_sql(61, 'chunk_id', 'neg_id')} % {_N} AS node FROM un)"
 _PN = f"{_FX}, {_CH}, {_UN}, pos AS (SELECT edge_id, {_SCORES['distmult']('vs', 'vr', 'vd')} AS score FROM fc), neg AS (SELECT edge_id, neg_id, node, {_SCORES['distmult']('vs', 'vr', 'v.vec')} AS score FROM fc JOIN ng ON ng.chunk_id = fc.chunk_id JOIN v ON v.id = node)"
@@ -292,6 +356,18 @@ un AS (SELECT edge_id, 1 + sum((n >= p)::INT)::BIGINT AS rank FROM sc GROUP BY e
 fl AS (SELECT edge_id, 1 + sum((n >= p AND f2.edge IS NULL)::INT)::BIGINT AS rank FROM sc LEFT JOIN (SELECT src, rel, dst, 1 AS edge FROM f) f2 ON f2.src = sc.src AND f2.rel = sc.rel AND f2.dst = node GROUP BY edge_id)"""
 
 
+def _both_sides() -> str:
+    """Ranks as dst and, with ends swapped and inverse relations, as src."""
+    parts = []
+    for side, near, far, shift in (("dst", "src", "dst", 0), ("src", "dst", "src", 2)):
+        parts.append(
+            f"q{side} AS (SELECT edge_id, {near} AS near, rel, {_cplx('a.vec', 'r.vec')} AS q, b.vec AS vb FROM f JOIN v a ON a.id = {near} JOIN v b ON b.id = {far} JOIN v r ON r.id = rel + {shift}),"
+            f" s{side} AS (SELECT edge_id, near, rel, v.id AS node, round(list_dot_product(q, v.vec), 9) AS n, round(list_dot_product(q, vb), 9) AS p FROM q{side} CROSS JOIN v),"
+            f" r{side} AS (SELECT s.edge_id, '{side}' AS side, 1 + sum((n >= p AND k.src IS NULL)::INT)::BIGINT AS rank FROM s{side} s LEFT JOIN f k ON k.{near} = s.near AND k.rel = s.rel AND k.{far} = node GROUP BY s.edge_id)"
+        )
+    return f"{VECTORS}, {FACTS}, {', '.join(parts)}, bs AS (SELECT * FROM rdst UNION ALL SELECT * FROM rsrc)"
+
+
 _LOGITS = f"""{VECTORS}, ce AS (SELECT label, pos, avg(vec[pos]) AS c FROM v, range(1, {DIM + 1}) r(pos) GROUP BY 1, 2), cl AS (SELECT label, list(c ORDER BY pos) AS c FROM ce GROUP BY label),
 lg AS (SELECT v.id, v.label AS y_true, cl.label AS class, round({_dot("v.vec", "cl.c")} * 10, 9) AS logit FROM v CROSS JOIN cl),
 pc AS (SELECT id, any_value(y_true) AS y_true, arg_max(class, (logit, -class)) AS y_pred FROM lg GROUP BY id)"""
@@ -322,10 +398,38 @@ def _matmul(source: str, value: str, mat: str, scale: str = "1") -> str:
 
 
 _OUT = "SELECT id, pos, round(val, 6) + 0.0 AS val FROM o"
-_GR = f"{_FX}, gr AS (SELECT *, 2 * ({_SCORES['distmult']('vs', 'vr', 'vd')} - 1) AS c FROM fx), ge AS (SELECT src AS id, pos, c * vr[pos] * vd[pos] AS x FROM gr, {_POS} UNION ALL SELECT dst, pos, c * vs[pos] * vr[pos] FROM gr, {_POS}), gs AS (SELECT id, pos, sum(x) AS g FROM ge GROUP BY 1, 2)"
+_GR = f"{_LX}, gr AS (SELECT *, 2 * ({_SCORES['distmult']('vs', 'vr', 'vd')} - 1) AS c FROM fx), ge AS (SELECT src AS id, pos, c * vr[pos] * vd[pos] AS x FROM gr, {_POS} UNION ALL SELECT dst, pos, c * vs[pos] * vr[pos] FROM gr, {_POS}), gs AS (SELECT id, pos, sum(x) AS g FROM ge GROUP BY 1, 2)"
 _GV = f"{_GR}, b AS (SELECT gs.id, gs.pos, v.vec[gs.pos] AS p, g FROM gs JOIN v ON v.id = gs.id)"
 
 
+_CZ = {
+    # per component: what the score gives to src, relation and target
+    "distmult": ("vr[pos] * t[pos]", "vs[pos] * t[pos]", "vs[pos] * vr[pos]"),
+    "complex": tuple(
+        f"CASE WHEN pos <= 32 THEN {x}[pos] * {y}[pos] {s1} {x}[pos + 32] * {y}[pos + 32] ELSE {x2}[pos - 32] * {y2}[pos] {s2} {x2}[pos] * {y2}[pos - 32] END"
+        for x, y, s1, x2, y2, s2 in (("vr", "t", "+", "vr", "t", "-"), ("vs", "t", "+", "vs", "t", "-"), ("vs", "vr", "-", "vs", "vr", "+"))
+    ),
+    "transe": ("-(vs[pos] + vr[pos] - t[pos]) / -score", "-(vs[pos] + vr[pos] - t[pos]) / -score", "(vs[pos] + vr[pos] - t[pos]) / -score"),
+}
+_sig = lambda x: f"(1 / (1 + exp(-({x}))))"
+_SLOPE = {
+    "softmax_ce": "exp(score - m) / z - y", "ranking": "CASE WHEN y = 1 THEN -(over) ELSE (score - p + 0.1 > 0)::INT END", "bce_logits": f"{_sig('score')} - y",
+    "mse": "2 * (score - y)", "softplus": f"CASE WHEN y = 1 THEN -{_sig('-score')} ELSE {_sig('score')} END",
+}
+
+
+def _gradient_sql(decoder: str, loss: str) -> str:
+    q, (ds, dr, dt) = _SCORES[decoder]("vs", "vr", "t"), _CZ[decoder]
+    return (
+        f"WITH {_LX}, ng AS (SELECT k, {draw_sql(63, 'k')} % {_N} AS node FROM range({STEP_NEGATIVES}) r(k)), tg AS (SELECT edge_id, src, rel, dst AS node, vs, vr, vd AS t, 1 AS y FROM fx UNION ALL SELECT edge_id, src, rel, node, vs, vr, v.vec, 0 FROM fx, ng JOIN v ON v.id = node),"
+        f" sc AS (SELECT *, {q} AS score FROM tg), w1 AS (SELECT edge_id, max(score) AS m, max(CASE WHEN y = 1 THEN score END) AS p FROM sc GROUP BY 1),"
+        " w2 AS (SELECT sc.edge_id, any_value(m) AS m, any_value(p) AS p, sum(exp(score - m)) AS z, sum((y = 0 AND score - p + 0.1 > 0)::INT) AS over FROM sc JOIN w1 ON w1.edge_id = sc.edge_id GROUP BY 1),"
+        f" gx AS (SELECT src, rel, node, vs, vr, t, score, {_SLOPE[loss]} AS g FROM sc JOIN w2 ON w2.edge_id = sc.edge_id),"
+        f" each AS (SELECT 'node' AS kind, src AS id, pos, g * ({ds}) AS x FROM gx, {_POS} UNION ALL SELECT 'rel', rel, pos, g * ({dr}) FROM gx, {_POS} UNION ALL SELECT 'node', node, pos, g * ({dt}) FROM gx, {_POS})"
+        " SELECT kind, id, pos - 1 AS pos, round(sum(x), 5) + 0.0 AS val FROM each GROUP BY kind, id, pos"
+    )
+
+
 def _gat_sql() -> str:
     parts = []
     for k, (w, a, b) in enumerate(_HEADS):
@@ -351,10 +455,10 @@ _ENC = (
 )
 
 SQL = {
-    **{f"score_{k}": f"WITH {_FX} SELECT edge_id, round({f('vs', 'vr', 'vd')}, 6) AS score FROM fx" for k, f in _SCORES.items()},
-    "score_inverse": f"WITH {VECTORS}, {FACTS} SELECT edge_id, round({_SCORES['complex']('t.vec', 'r.vec', 's.vec')}, 6) AS score FROM f JOIN v s ON s.id = src JOIN v t ON t.id = dst JOIN v r ON r.id = rel + 2",
+    **{f"score_{k}": f"WITH {_LX} SELECT edge_id, round({f('vs', 'vr', 'vd')}, 6) AS score FROM fx" for k, f in _SCORES.items()},
+    "score_inverse": f"WITH {VECTORS}, {LINES} SELECT edge_id, round({_SCORES['complex']('t.vec', 'r.vec', 's.vec')}, 6) AS score FROM f JOIN v s ON s.id = src JOIN v t ON t.id = dst JOIN v r ON r.id = rel + 2",
     "score_relations": f"WITH {_FX}, rr AS (SELECT DISTINCT rel FROM f) SELECT edge_id, rr.rel, round({_SCORES['distmult']('vs', 'v.vec', 'vd')}, 6) AS score FROM fx CROSS JOIN rr JOIN v ON v.id = rr.rel",
-    "relation_operators": f"WITH {_FX} SELECT edge_id, round(list_sum({_had('vs', 'vr')}), 6) AS had, round(list_sum({_add('vs', 'vr')}), 6) AS trans, round({_cplx('vs', 'vr')}[1], 6) AS re0, round({_cplx('vs', 'vr')}[33], 6) AS im0 FROM fx",
+    "relation_operators": f"WITH {_LX} SELECT edge_id, round(list_sum({_had('vs', 'vr')}), 6) AS had, round(list_sum({_add('vs', 'vr')}), 6) AS trans, round({_cplx('vs', 'vr')}[1], 6) AS re0, round({_cplx('vs', 'vr')}[33], 6) AS im0 FROM fx",
     "activations": f"WITH {VECTORS} SELECT id, round(list_sum(list_transform(vec, lambda x: greatest(x, 0))), 6) AS relu, round(list_sum(list_transform(vec, lambda x: 1 / (1 + exp(-x)))), 6) AS sigmoid, round(list_sum(vec), 6) AS none FROM v",
     "score_chunk_negatives": f"WITH {_PN} SELECT edge_id, neg_id, round(score, 6) AS score FROM neg",
     "score_masked": f"WITH {_PN} SELECT neg.edge_id, neg_id, CASE WHEN k.src IS NOT NULL THEN -1e9 ELSE round(score, 6) END AS score FROM neg JOIN f ON f.edge_id = neg.edge_id LEFT JOIN f k ON k.src = f.src AND k.rel = f.rel AND k.dst = node",
@@ -362,6 +466,14 @@ SQL = {
     "rank_unfiltered": f"WITH {_ranked('distmult')} SELECT * FROM un",
     "rank_filtered": f"WITH {_ranked('distmult')} SELECT * FROM fl",
     "evaluate_links": f"WITH {_ranked('complex')} SELECT count(*) AS n, round(avg(1.0 / rank), 6) AS mrr, round(avg(rank), 6) AS mr, round(avg((rank <= 1)::INT), 6) AS hits_1, round(avg((rank <= 10)::INT), 6) AS hits_10 FROM fl",
+    "evaluate_links_both": f"WITH {_both_sides()} SELECT side, count(*) AS n, round(avg(1.0 / rank), 6) AS mrr, round(avg(rank), 6) AS mr, round(avg((rank <= 1)::INT), 6) AS hits_1, round(avg((rank <= 10)::INT), 6) AS hits_10 FROM bs GROUP BY side",
+    "rank_filtered_hub": f"""WITH {VECTORS}, {HUB_EDGES}, hx AS (SELECT edge_id, src, rel, dst, {_had('s.vec', 'r.vec')} AS q, t.vec AS vd FROM he JOIN v s ON s.id = src JOIN v r ON r.id = rel JOIN v t ON t.id = dst),
+sc AS (SELECT edge_id, src, rel, v.id AS node, round(list_dot_product(q, v.vec), 9) AS n, round(list_dot_product(q, vd), 9) AS p FROM hx CROSS JOIN v)
+SELECT edge_id, 1 + sum((n >= p AND k.src IS NULL)::INT)::BIGINT AS rank FROM sc LEFT JOIN he k ON k.src = sc.src AND k.rel = sc.rel AND k.dst = node GROUP BY edge_id""".replace("edge_id, 1 +", "sc.edge_id, 1 +").replace("GROUP BY edge_id", "GROUP BY sc.edge_id"),
+    "rank_lines": f"""WITH {VECTORS}, {VECTOR_EDGES}, f AS (SELECT *, (src * 3 + rel) * 1000000 + dst AS edge_id FROM g), fx AS (SELECT edge_id, {_had('s.vec', 'r.vec')} AS q, t.vec AS vd FROM f JOIN v s ON s.id = src JOIN v t ON t.id = dst JOIN v r ON r.id = rel),
+fc AS (SELECT *, (row_number() OVER (ORDER BY {digest_sql(62, 'edge_id')}, edge_id) - 1) // ceil(count(*) OVER () / {CHUNKS})::BIGINT AS chunk_id FROM fx), {_UN}
+SELECT edge_id, 1 + sum((round(list_dot_product(q, v.vec), 9) >= round(list_dot_product(q, vd), 9))::INT)::BIGINT AS rank FROM fc JOIN ng ON ng.chunk_id = fc.chunk_id JOIN v ON v.id = node GROUP BY 1""",
+    "score_chunk_negatives_src": f"WITH {_FX}, {_CH}, {_UN} SELECT edge_id, neg_id, round({_SCORES['complex']('vd', 'r.vec', 'n.vec')}, 6) AS score FROM fc JOIN v r ON r.id = rel + 2 JOIN ng ON ng.chunk_id = fc.chunk_id JOIN v n ON n.id = node",
     "mrr": f"WITH {_ranked('distmult')} SELECT round(avg(1.0 / rank), 6) AS value FROM fl",
     "mean_rank": f"WITH {_ranked('distmult')} SELECT round(avg(rank), 6) AS value FROM fl",
     "hits_at_k": f"WITH {_ranked('distmult')} SELECT round(avg((rank <= 10)::INT), 6) AS value FROM fl",
@@ -370,7 +482,7 @@ SQL = {
     "loss_classes": f"WITH {_LOGITS}, m AS (SELECT id, max(logit) AS m FROM lg GROUP BY 1), x AS (SELECT lg.id, any_value(m) + ln(sum(exp(logit - m))) - sum(CASE WHEN class = y_true THEN logit ELSE 0 END) AS x FROM lg JOIN m ON m.id = lg.id GROUP BY 1)"
     " SELECT round(sum(x), 6) AS loss_sum, round(avg(x), 6) AS loss_mean FROM x",
     **{f"loss_{k}": f"WITH {_PN}, {_LOSS[k]} SELECT round(sum(x), 6) AS loss_sum, round(avg(x), 6) AS loss_mean FROM xs" for k in LOSSES},
-    "norm_penalty": f"WITH {_FX}, n AS (SELECT pos, sqrt(sum(vs[pos] ** 2)) + sqrt(sum(vd[pos] ** 2)) AS x FROM fx, {_POS} GROUP BY pos) SELECT round(sum(x) * 0.01 / 2, 6) AS penalty FROM n",
+    "norm_penalty": f"WITH {_LX}, n AS (SELECT pos, sqrt(sum(vs[pos] ** 2)) + sqrt(sum(vd[pos] ** 2)) AS x FROM fx, {_POS} GROUP BY pos) SELECT round(sum(x) * 0.01 / 2, 6) AS penalty FROM n",
     "segment_sum": f"WITH {_NB}, {_SEG} SELECT center AS id, pos - 1 AS pos, round(s, 6) + 0.0 AS val FROM sg",
     "segment_mean": f"WITH {_NB}, {_SEG} SELECT center AS id, pos - 1 AS pos, round(s / n, 6) + 0.0 AS val FROM sg",
     "segment_max": f"WITH {_NB}, {_SEG} SELECT center AS id, pos - 1 AS pos, round(m, 6) + 0.0 AS val FROM sg",
@@ -393,6 +505,10 @@ SQL = {
     "adagrad_step": f"WITH {_GR} SELECT v.id, r.pos - 1 AS pos, round(CASE WHEN g IS NULL THEN vec[r.pos] ELSE vec[r.pos] - 0.1 * g / (sqrt(0.5 + g * g) + 1e-10) END, 6) + 0.0 AS val FROM v CROSS JOIN {_POS} LEFT JOIN gs ON gs.id = v.id AND gs.pos = r.pos",
     "adagrad_decayed_step": f"WITH {_GV}, w AS (SELECT *, g + 0.01 * p AS q FROM b) SELECT id, pos - 1 AS pos, round(p - 0.1 / 1.3 * q / (sqrt(0.5 + q * q) + 1e-10), 6) + 0.0 AS val FROM w",
     "adam_step": f"WITH {_GV}, w AS (SELECT *, 0.9 * 0.01 + 0.1 * g AS m, greatest(0.03, 0.999 * 0.02 + 0.001 * g * g) AS x FROM b) SELECT id, pos - 1 AS pos, round(p - 0.1 / (1 - 0.9 ** 3) * m / (sqrt(x) / sqrt(1 - 0.999 ** 3) + 1e-8), 6) + 0.0 AS val FROM w",
+    **{f"gradient_{a}_{b}": _gradient_sql(a, b) for a, b in STEPS},
+    "class_gradient": f"WITH {_LOGITS}, m AS (SELECT id, max(logit) AS m FROM lg GROUP BY 1), z AS (SELECT lg.id, any_value(m) AS m, sum(exp(logit - m)) AS z FROM lg JOIN m ON m.id = lg.id GROUP BY 1)"
+    " SELECT lg.id, row_number() OVER (PARTITION BY lg.id ORDER BY class) - 1 AS pos, round(exp(logit - m) / z - (class = y_true)::INT, 6) + 0.0 AS val FROM lg JOIN z ON z.id = lg.id",
+    "adam_decayed_step": f"WITH {_GV}, w AS (SELECT *, g + 0.01 * p AS q FROM b), x AS (SELECT *, 0.9 * 0.01 + 0.1 * q AS m, 0.999 * 0.02 + 0.001 * q * q AS x FROM w) SELECT id, pos - 1 AS pos, round(p - 0.1 / (1 - 0.9 ** 2) * m / (sqrt(x) / sqrt(1 - 0.999 ** 2) + 1e-8), 6) + 0.0 AS val FROM x",
     "update_embeddings": f"WITH {_GR} SELECT v.id, r.pos - 1 AS pos, round(vec[r.pos] + coalesce(g, 0), 6) + 0.0 AS val FROM v CROSS JOIN {_POS} LEFT JOIN gs ON gs.id = v.id AND gs.pos = r.pos",
     "put_embeddings": f"WITH {VECTORS}, {FACTS}, k AS (SELECT DISTINCT src FROM f WHERE rel = 1) SELECT id, pos - 1 AS pos, round(CASE WHEN id IN (SELECT src FROM k) THEN 2 * vec[pos] ELSE vec[pos] END, 6) + 0.0 AS val FROM v, {_POS}",
     "init_embeddings": f"SELECT p_partkey AS id, j AS pos, round(({unit_sql(70, 'p_partkey', 'j')} * 2 - 1) * sqrt(6 / 2004.0), 6) + 0.0 AS val FROM part, range(4) r(j)",

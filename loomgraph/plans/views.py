@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.hashing import draw, draw_sql
 from loomgraph.session import table
 
 
@@ -55,15 +56,12 @@ VECTOR_EDGES = """g AS (SELECT DISTINCT l_suppkey % (SELECT count(*) FROM embedd
   l_partkey % (SELECT count(*) FROM embeddings) AS dst FROM lineitem)"""
 
 
-def place_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers and customers in nations, small enough on one side to corrupt with every node: (edge_id, src, rel, dst), dst a nation."""
-    s = table(spark, d, "supplier").select((F.col("s_suppkey") * 2).alias("edge_id"), (F.col("s_suppkey") * 2 + 1000).alias("src"), F.lit(0).alias("rel"), F.col("s_nationkey").cast("bigint").alias("dst"))
-    c = table(spark, d, "customer").select((F.col("c_custkey") * 2 + 1).alias("edge_id"), (F.col("c_custkey") * 2 + 1001).alias("src"), F.lit(1).alias("rel"), F.col("c_nationkey").cast("bigint").alias("dst"))
-    return s.unionByName(c)
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """vector_edges with an edge_id: the whole of lineitem."""
+    return vector_edges(spark, d).withColumn("edge_id", (F.col("src") * 3 + F.col("rel")) * 1_000_000 + F.col("dst"))
 
 
-PLACES = """pe AS (SELECT s_suppkey * 2 AS edge_id, s_suppkey * 2 + 1000 AS src, 0 AS rel, s_nationkey::BIGINT AS dst FROM supplier
-  UNION ALL SELECT c_custkey * 2 + 1, c_custkey * 2 + 1001, 1, c_nationkey::BIGINT FROM customer)"""
+LINES = f"{VECTOR_EDGES}, f AS (SELECT *, (src * 3 + rel) * 1000000 + dst AS edge_id FROM g)"
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
@@ -76,3 +74,15 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
 
 FACTS = """fd AS (SELECT c_custkey % (SELECT count(*) FROM embeddings) AS src, 0::BIGINT AS rel, c_nationkey::BIGINT AS dst FROM customer
   UNION SELECT s_suppkey % (SELECT count(*) FROM embeddings), 1, s_nationkey FROM supplier), f AS (SELECT *, (src * 2 + rel) * 1000 + dst AS edge_id FROM fd)"""
+
+
+def hub_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct (edge_id, src, rel, dst) of the whole edge list between the nodes of node_vectors: labels as they stand are folded onto them by hash, so hubs stay hubs."""
+    n = F.lit(table(spark, d, "embeddings").count())
+    e = table(spark, d, "edge_list").select("src_column", "edge_type_column", "dst_column").na.drop()
+    folded = e.select((draw("n", "src_column") % n).alias("src"), (draw("r", "edge_type_column") % 16).alias("rel"), (draw("n", "dst_column") % n).alias("dst")).distinct()
+    return folded.withColumn("edge_id", (F.col("src") * 16 + F.col("rel")) * 1_000_000 + F.col("dst"))
+
+
+HUB_EDGES = f"""hd AS (SELECT DISTINCT {draw_sql('n', 'src_column')} % (SELECT count(*) FROM embeddings) AS src, {draw_sql('r', 'edge_type_column')} % 16 AS rel, {draw_sql('n', 'dst_column')} % (SELECT count(*) FROM embeddings) AS dst
+  FROM edge_list WHERE src_column IS NOT NULL AND edge_type_column IS NOT NULL AND dst_column IS NOT NULL), he AS (SELECT *, (src * 16 + rel) * 1000000 + dst AS edge_id FROM hd)"""

@@ -41,12 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _path(spark: SparkSession, name: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and the copy survives lost executors."""
+    """Write df to the shared folder and read it back: lineage is cut, and the copy survives lost executors. It is deleted when the application ends, or by discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _path(spark, path)
+    fs.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._loomgraph_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what written() has put into the shared folder for df; nothing else is touched."""
+    path = getattr(df, "_loomgraph_path", None)
+    if path:
+        fs, at = _path(df.sparkSession, path)
+        fs.delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:

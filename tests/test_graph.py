@@ -109,8 +109,8 @@ def test_negative_shapes(spark, six, chunks, n, fraction):
 
 def test_filters_find_edges(spark, six):
     known = six.unionByName(spark.createDataFrame([(9, 0, 1, 3)], six.schema))
-    got = {(r.edge_id, r.dst) for r in sampling.known_ends(six, known).collect()}
-    assert got == {(i, d2) for i, (s, r, d) in enumerate(EDGES) for (s2, r2, d2) in [*EDGES, (0, 1, 3)] if (s, r) == (s2, r2)}
+    got = sorted(tuple(r) for r in sampling.known_ends(six, known).collect())
+    assert got == sorted(x for x in {*EDGES, (0, 1, 3)} if any(x[:2] == y[:2] for y in EDGES))
     assert sampling.drop_known(known, six).count() == 1
 
 
@@ -131,13 +131,37 @@ def test_ranks_in_blocks_equal_broadcast(spark, monkeypatch):
         assert min(r.rank for r in scoring.all_node_ranks(e, nodes, rels, dec, 2).collect()) >= 2
 
 
+def test_known_counted_for_a_hub(spark):
+    rng = np.random.default_rng(3)
+    score = lambda: float(rng.integers(-20, 20)) / 7
+    pos = [(i, 0 if i % 3 else i % 5, i % 2, score()) for i in range(300)]
+    known = [(0 if i % 4 else i % 5, i % 2, score()) for i in range(500)]
+    got = {r.edge_id: r.n_known for r in scoring.known_at_least(spark.createDataFrame(pos, "edge_id bigint, src bigint, rel bigint, score double"), spark.createDataFrame(known, "src bigint, rel bigint, score double")).collect()}
+    assert got == {i: sum(k == (s, r) and x >= p for *k, x in [((a, b), c) for a, b, c in known] for k in [k[0]]) for i, s, r, p in pos}
+
+
+def test_both_sides(spark):
+    nodes = spark.createDataFrame(list(enumerate(VECS)), "id bigint, vec array<double>")
+    rels, inverse = (spark.createDataFrame(x, "rel bigint, vec array<double>") for x in ([(0, [1.0, 1.0])], [(0, [0.5, -1.0])]))
+    e = spark.createDataFrame([(i, i % 4, 0, (i * 3 + 1) % 4) for i in range(4)], "edge_id bigint, src bigint, rel bigint, dst bigint")
+    got = {(r.edge_id, r.side): r.rank for r in scoring.both_side_ranks(e, nodes, rels, inverse, "distmult", 2).collect()}
+    v, r = np.array(VECS), {"dst": np.array([1.0, 1.0]), "src": np.array([0.5, -1.0])}
+    for i in range(4):
+        for side, (a, b) in {"dst": (i % 4, (i * 3 + 1) % 4), "src": ((i * 3 + 1) % 4, i % 4)}.items():
+            scores = v @ (v[a] * r[side])
+            assert got[i, side] == 1 + (scores.round(9) >= scores[b].round(9)).sum()
+
+
 def test_sum_is_n_times_mean_and_margin_counts(spark):
-    pos = spark.createDataFrame([(0, 500.0), (1, 0.1), (2, -500.0)], "edge_id bigint, score double")
-    neg = spark.createDataFrame([(i, float(x)) for i in range(3) for x in (500, 0.5, -3, 7.5, -500)], "edge_id bigint, score double")
+    negs = [500.0, 0.5, -3.0, 7.5, -500.0]
+    scored = spark.createDataFrame([(0, 500.0, negs), (1, 0.1, negs), (2, -500.0, negs)], "edge_id bigint, score double, negs array<double>")
     for kind, n in (("softmax_ce", 3), ("cross_entropy", 3), ("ranking", 15), ("bce_sigmoid", 18), ("bce_logits", 18), ("mse", 18), ("softplus", 18)):
-        r = scoring.link_loss(kind, pos, neg).first()
+        r = scoring.link_loss(kind, scored).first()
         assert np.isfinite(r.loss_sum) and r.loss_sum == pytest.approx(n * r.loss_mean)
-    assert scoring.link_loss("ranking", pos, neg, 5.0).first().loss_sum > scoring.link_loss("ranking", pos, neg, 0.1).first().loss_sum
+        assert scoring.link_loss(kind, scored.limit(0)).first().loss_sum is None
+        alone = scored.limit(1).withColumn("negs", F.array().cast("array<double>"))
+        assert scoring.link_loss(kind, alone).first().loss_sum is not None
+    assert scoring.link_loss("ranking", scored, 5.0).first().loss_sum > scoring.link_loss("ranking", scored, 0.1).first().loss_sum
     with pytest.raises(ValueError):
         scoring.pointwise_loss("none", F.lit(1), F.lit(1))
     for m in ("mrr", "MeanReciprocalRank", "Hits@10", "hitsk5", "MR", "acc"):
@@ -266,7 +290,8 @@ def test_relations_in_blocks_equal_broadcast(spark, monkeypatch):
     negs = sampling.uniform_negatives(spark, 2, 3, 4, 5)
 
     def both():
-        return sorted(map(tuple, scoring.relation_scores(e, nodes, rels, "distmult").collect())), sorted(map(tuple, scoring.chunk_scores(e, negs, nodes, rels, "complex").collect()))
+        rows = {dec: sorted((r.edge_id, round(r.score, 9), [round(x, 9) for x in r.negs]) for r in scoring.chunk_rows(e, negs, nodes, rels, dec, 2).collect()) for dec in ("distmult", "complex", "transe", "cosine")}
+        return sorted(map(tuple, scoring.relation_scores(e, nodes, rels, "distmult").collect())), sorted(map(tuple, scoring.chunk_scores(e, negs, nodes, rels, "complex").collect())), rows
 
     a = both()
     assert len(a[0]) == 56 and len(a[1]) == 24
