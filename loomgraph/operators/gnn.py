@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors as V
+from loomgraph.functions.hashing import unit
 
 
 def hash_matrix(seed: int | str, rows: int, cols: int, limit: float) -> np.ndarray:
@@ -102,13 +103,16 @@ def with_self(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("center", "nbr").unionByName(nodes.select(F.col("id").alias("center"), F.col("id").alias("nbr")))
 
 
-def gat(nodes: DataFrame, pairs: DataFrame, heads: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], slope: float = 0.2, average: bool = True) -> DataFrame:
+def gat(nodes: DataFrame, pairs: DataFrame, heads: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], slope: float = 0.2, average: bool = True, input_dropout: float = 0.0, attention_dropout: float = 0.0, seed: int = 0) -> DataFrame:
     """(id, vec): per head (W, a_l, a_r), the neighbours' and the node's own W h, weighted by softmax of LeakyReLU(a_l W h_i + a_r W h_j); heads are averaged or put side by side.
 
     LeakyReLU is monotone, so the greatest logit of a center follows from its neighbours' greatest right part, one
-    number; the vectors are joined once, and weights and weighted vectors are summed together.
+    number; the vectors are joined once, and weights and weighted vectors are summed together. For training, components
+    of the input and weights of neighbours are dropped by hash, with rates of their own, and the others scaled up.
     """
     out = heads[0][0].shape[0]
+    if input_dropout:
+        nodes = nodes.select("id", F.transform("vec", lambda x, j: F.when(unit(f"{seed}:in", "id", j) >= input_dropout, x / (1 - input_dropout)).otherwise(F.lit(0.0))).alias("vec"))
     parts = []
     links = with_self(nodes, pairs)
     leaky = lambda x: F.when(x > 0, x).otherwise(x * slope)
@@ -116,7 +120,9 @@ def gat(nodes: DataFrame, pairs: DataFrame, heads: Sequence[tuple[np.ndarray, np
         h = nodes.select("id", product(w, "vec").alias("h")).select("id", "h", product(np.stack([left, right]), "h").alias("lr")).select("id", "h", F.col("lr")[0].alias("l"), F.col("lr")[1].alias("r"))
         top = links.join(h.select(F.col("id").alias("nbr"), "r"), "nbr").groupBy("center").agg(F.max("r").alias("top")).join(h.select(F.col("id").alias("center"), "l"), "center")
         pair = links.join(top, "center").join(h.select(F.col("id").alias("nbr"), "h", "r"), "nbr")
-        e = pair.withColumn("e", F.exp(leaky(F.col("l") + F.col("r")) - leaky(F.col("l") + F.col("top")))).select("center", "e", V.scale(F.col("h"), F.col("e")).alias("h"))
+        e = pair.withColumn("e", F.exp(leaky(F.col("l") + F.col("r")) - leaky(F.col("l") + F.col("top")))).select("center", "nbr", "e", "h")
+        kept = F.when(unit(f"{seed}:{k}", "center", "nbr") >= attention_dropout, F.col("e") / (1 - attention_dropout)).otherwise(F.lit(0.0)) if attention_dropout else F.col("e")
+        e = e.select("center", "e", V.scale(F.col("h"), kept).alias("h"))
         sums = e.groupBy("center").agg(V.sum_of_vectors("h", out).alias("h"), F.sum("e").alias("e"))
         parts.append(sums.select("center", V.scale(F.col("h"), 1.0 / F.col("e")).alias(f"h{k}")))
     joined = parts[0]

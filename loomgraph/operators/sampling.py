@@ -13,6 +13,10 @@ from loomgraph.functions.hashing import digest, draw, unit
 from loomgraph.session import sent_if_small, written
 
 
+#: edges in one part of a hub, if all edges are its own
+PART_EDGES = 1_000_000
+
+
 @dataclass(frozen=True)
 class Hop:
     """kind: all, uniform (at most n without replacement), replaced (n draws with replacement), dropout (keep with 1 - rate)."""
@@ -47,10 +51,13 @@ def sampled(found: DataFrame, hop: Hop, seed: int = 0) -> DataFrame:
 def _with_replacement(found: DataFrame, n: int, seed: int) -> DataFrame:
     """All neighbours of centers with at most n; of others n draws of a position.
 
-    Positions are counted within (center, first digit of the digest), with offsets from the 16 counts of a center, so a
-    hub's edges are spread over 16 tasks.
+    Positions are counted within (center, first digits of the digest), with offsets from the counts of a center, so a
+    hub's edges are spread over 16 tasks, or 256 and more where there are more than PART_EDGES for each.
     """
-    d = found.withColumn("_d", digest(seed, "center", "edge_id")).withColumn("_b", F.substring("_d", 1, 1))
+    digits, n_found = 1, found.count()
+    while 16**digits * PART_EDGES < n_found:
+        digits += 1
+    d = found.withColumn("_d", digest(seed, "center", "edge_id")).withColumn("_b", F.substring("_d", 1, digits))
     counts = d.groupBy("center", "_b").agg(F.count(F.lit(1)).alias("_n"))
     by = W.partitionBy("center")
     offsets = counts.withColumn("_o", F.coalesce(F.sum("_n").over(by.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("degree", F.sum("_n").over(by))
@@ -101,7 +108,7 @@ def local_ids(batches: DataFrame, columns: Sequence[str], batch: str = "batch_id
     return nodes.withColumn("local_id", (F.row_number().over(W.partitionBy(batch).orderBy("node")) - 1).cast("bigint"))
 
 
-def uniform_negatives(spark: SparkSession, n_chunks: int, per_chunk: int, n_nodes: int, seed: int = 0) -> DataFrame:
+def uniform_negatives(spark: SparkSession, n_chunks: int, per_chunk: int, n_nodes: int, seed: int | str = 0) -> DataFrame:
     """(chunk_id, neg_id, node): per_chunk node ids for each chunk, with replacement."""
     k = spark.range(n_chunks * per_chunk).select(F.floor(F.col("id") / per_chunk).cast("bigint").alias("chunk_id"), (F.col("id") % per_chunk).alias("neg_id"))
     return k.withColumn("node", draw(seed, "chunk_id", "neg_id") % n_nodes)
@@ -153,9 +160,9 @@ def drop_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.join(known.select("src", "rel", "dst").distinct(), ["src", "rel", "dst"], "left_anti")
 
 
-def both_negatives(spark: SparkSession, n_chunks: int, per_chunk: int, n_nodes: int, seed: int = 0) -> DataFrame:
+def both_negatives(spark: SparkSession, n_chunks: int, per_chunk: int, n_nodes: int, seed: int | str = 0) -> DataFrame:
     """(end, chunk_id, neg_id, node): negatives in place of src, and others in place of dst."""
-    parts = [uniform_negatives(spark, n_chunks, per_chunk, n_nodes, seed + k).withColumn("end", F.lit(end)) for k, end in enumerate(("src", "dst"))]
+    parts = [uniform_negatives(spark, n_chunks, per_chunk, n_nodes, seed + k if isinstance(seed, int) else f"{seed}:{end}").withColumn("end", F.lit(end)) for k, end in enumerate(("src", "dst"))]
     return parts[0].unionByName(parts[1])
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomgraph.functions.labels import normal_form
 from loomgraph.session import only
 
-SALTS = 64
+#: sub-keys of a heavy label at least, and rows of the table for each of them beyond that
+SALTS, ROWS_PER_SALT = 64, 1_000_000
 HEAVY_SHARE = 0.005
 
 
@@ -30,12 +31,12 @@ def label_stats(
     src: str = "src_column",
     dst: str = "dst_column",
     weight: str = "edge_weight_column",
-    salts: int = SALTS,
+    salts: int | None = None,
     share: float = HEAVY_SHARE,
 ) -> DataFrame:
     """(field, term, n_edges, n_neighbours, sum_weight) for every label in `src` and in `dst`.
 
-    Heavy labels get a salt drawn from the hash of the neighbour; light ones salt 0. Stage one gives partials per
+    Heavy labels get a salt drawn from the hash of the neighbour, of as many as the table's rows call for; light ones salt 0. Stage one gives partials per
     (label, salt), stage two merges them per label. As equal neighbours of a label share their salt, the distinct
     counts of the partials add up. Rows are combined on the map side before each exchange, also exact copies.
 
@@ -52,6 +53,7 @@ def label_stats(
             )
         ).alias("x")
     ).select("x.*")
+    salts = salts or max(SALTS, -(-edges.count() // ROWS_PER_SALT))
     # bounded by 2 / share rows, see heavy_labels
     heavy = F.broadcast(heavy_labels(edges, (src, dst), share).withColumn("heavy", F.lit(True)))
     salted = (

@@ -75,7 +75,7 @@ def _graph(spark, d):
 
 
 def _customers(spark, d):
-    return table(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    return table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
 
 
 def _parts(spark, d):
@@ -103,8 +103,7 @@ def nbrs_dropout(spark, d):
 
 
 def _khop(spark, d):
-    roots = table(spark, d, "supplier").select(F.concat(F.lit("c"), F.col("s_suppkey")).alias("node"))
-    return sampling.layered(roots, _graph(spark, d), [Hop("all"), Hop("uniform", 3)], seed=30)
+    return sampling.layered(_customers(spark, d), _graph(spark, d), [Hop("all"), Hop("uniform", 3)], seed=30)
 
 
 def khop_frontier(spark, d):
@@ -125,34 +124,32 @@ def combined_neighbours(spark, d):
     return both.groupBy("center").agg(F.count(F.lit(1)).alias("n_neighbours"), F.countDistinct("nbr").alias("n_distinct"))
 
 
-def _everyone(spark, d):
-    return table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
-
-
-def _khop_whole(spark, d):
-    return sampling.layered(_everyone(spark, d), _graph(spark, d), [Hop("all"), Hop("uniform", 3)], seed=30)
+def _met(spark, states):
+    """(src_part, dst_part): pairs of partitions that some state holds together."""
+    return partition.greedy_assignment(partition.states_table(spark, states)).select("src_part", "dst_part")
 
 
-def nbrs_all_out_whole(spark, d):
-    return sampling.neighbours(_everyone(spark, d), _graph(spark, d), False).drop("incoming")
+def order_beta(spark, d):
+    return _met(spark, partition.beta_states(PARTS, 3, 5))
 
 
-def khop_frontier_whole(spark, d):
-    return _khop_whole(spark, d)[0]
+def order_two_level(spark, d):
+    return _met(spark, partition.two_level_states(PARTS, 4, 2, 0, 6))
 
 
-def khop_edges_whole(spark, d):
-    return _khop_whole(spark, d)[1].withColumn("incoming", F.col("incoming").cast("int"))
+def order_by_name(spark, d):
+    return _met(spark, partition.buffer_states("beta", PARTS, 4, seed=7))
 
 
-def next_layer_edges_whole(spark, d):
-    return sampling.next_layer(_khop_whole(spark, d)[1], 2, 2).groupBy("center").agg(F.count(F.lit(1)).alias("n_neighbours"))
+def order_dispersed(spark, d):
+    """(part): partitions that have been resident."""
+    return partition.states_table(spark, partition.dispersed_states(PARTS, 3, 8)).select("part").distinct()
 
 
-def combined_neighbours_whole(spark, d):
-    e = _graph(spark, d)
-    both = sampling.neighbours(_everyone(spark, d), e, False).unionByName(sampling.neighbours(_parts(spark, d), e, True))
-    return both.groupBy("center").agg(F.count(F.lit(1)).alias("n_neighbours"), F.countDistinct("nbr").alias("n_distinct"))
+def order_sequential(spark, d):
+    """(part, train): whether a train partition is resident, of the one state there is."""
+    state = partition.states_table(spark, partition.sequential_state(PARTS, 4, (1, 6), 9))
+    return state.filter(F.col("part").isin(1, 6)).select("part", "state_id")
 
 
 def local_ids(spark, d):
@@ -232,7 +229,7 @@ QUERIES = {
     for f in (
         node_parts, edge_buckets, bucket_grid_with_zeros, bucket_offsets, sort_buckets, induced_subgraph, greedy_bucket_assignment, random_bucket_assignment, active_edges, buffer_swap_diff, buffer_map,
         nbrs_all_out, nbrs_all_in, nbrs_uniform_k, nbrs_with_replacement, nbrs_dropout, khop_frontier, khop_edges, next_layer_edges, combined_neighbours, local_ids,
-        nbrs_all_out_whole, khop_frontier_whole, khop_edges_whole, next_layer_edges_whole, combined_neighbours_whole, local_edges,
+        local_edges, order_beta, order_two_level, order_by_name, order_dispersed, order_sequential,
         negatives_uniform, negatives_degree, negatives_mixed, local_filter, degree_filter, known_edge_filter, negatives_all_filtered, known_edge_antijoin, all_edges,
     )
 }
@@ -243,11 +240,11 @@ _GRID = f"gr AS (SELECT (k // {PARTS})::INTEGER AS src_part, (k % {PARTS})::INTE
 _STATES = f"st(state_id, slot, part) AS (VALUES {', '.join(f'({s}, {k}, {p})' for s, x in enumerate(STATES) for k, p in enumerate(x))})"
 _HELD = "held AS (SELECT a.part AS src_part, b.part AS dst_part, a.state_id FROM st a JOIN st b ON a.state_id = b.state_id)"
 _GREEDY = "gd AS (SELECT src_part, dst_part, min(state_id) AS state_id FROM held GROUP BY 1, 2)"
-_CUST = "f AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING')"
+_CUST = "f AS (SELECT 'c' || c_custkey AS node FROM customer)"
 _PART = "f AS (SELECT 'p' || p_partkey AS node FROM part)"
 _IN = "nb AS (SELECT dst AS center, src AS nbr, rel, edge_id FROM e JOIN f ON dst = node)"
 _OUT = "nb AS (SELECT src AS center, dst AS nbr, rel, edge_id FROM e JOIN f ON src = node)"
-_HOPS = f"""roots AS (SELECT DISTINCT 'c' || s_suppkey AS node FROM supplier),
+_HOPS = f"""roots AS (SELECT DISTINCT 'c' || c_custkey AS node FROM customer),
 h1 AS (SELECT node AS center, src AS nbr, rel, edge_id, 1 AS incoming FROM e JOIN roots ON dst = node UNION ALL SELECT node, dst, rel, edge_id, 0 FROM e JOIN roots ON src = node),
 f1 AS (SELECT nbr AS node FROM h1 EXCEPT SELECT node FROM roots),
 a2 AS (SELECT node AS center, src AS nbr, rel, edge_id, 1 AS incoming FROM e JOIN f1 ON dst = node UNION ALL SELECT node, dst, rel, edge_id, 0 FROM e JOIN f1 ON src = node),
@@ -294,7 +291,7 @@ SQL = {
     "khop_frontier": f"WITH {TYPED}, {_HOPS} SELECT node, 0 AS hop FROM roots UNION ALL SELECT node, 1 FROM f1 UNION ALL SELECT node, 2 FROM f2",
     "khop_edges": f"WITH {TYPED}, {_HOPS} SELECT center, nbr, rel, edge_id, incoming, 1 AS hop FROM h1 UNION ALL SELECT center, nbr, rel, edge_id, incoming, 2 FROM h2",
     "next_layer_edges": f"WITH {TYPED}, {_HOPS} SELECT center, count(*) AS n_neighbours FROM h1 GROUP BY center",
-    "combined_neighbours": f"WITH {TYPED}, b AS (SELECT src AS center, dst AS nbr FROM e WHERE src IN (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT dst, src FROM e) SELECT center, count(*) AS n_neighbours, count(DISTINCT nbr) AS n_distinct FROM b GROUP BY center",
+    "combined_neighbours": f"WITH {TYPED}, b AS (SELECT src AS center, dst AS nbr FROM e WHERE src IN (SELECT 'c' || c_custkey FROM customer) UNION ALL SELECT dst, src FROM e) SELECT center, count(*) AS n_neighbours, count(DISTINCT nbr) AS n_distinct FROM b GROUP BY center",
     "local_ids": f"WITH {INT}, {_BATCHED}, {_LOCAL} SELECT * FROM li",
     "local_edges": f"WITH {INT}, {_BATCHED}, {_LOCAL} SELECT edge_id, p.batch_id, a.local_id AS local_src, b.local_id AS local_dst FROM p JOIN li a ON a.batch_id = p.batch_id AND a.node = src JOIN li b ON b.batch_id = p.batch_id AND b.node = dst",
     "negatives_uniform": f"WITH {_UNIFORM} SELECT * FROM un",
@@ -302,6 +299,9 @@ SQL = {
     "negatives_mixed": f"WITH {_CHUNKED}, {_MIXED} SELECT * FROM mx",
     "local_filter": f"WITH {_CHUNKED}, {_UNIFORM} SELECT gc.edge_id, neg_id FROM gc JOIN un ON un.chunk_id = gc.chunk_id JOIN g ON g.src = gc.src AND g.rel = gc.rel AND g.dst = un.node",
     "degree_filter": f"WITH {_CHUNKED}, {_MIXED} SELECT gc.edge_id, neg_id FROM mx JOIN gc ON gc.pos = mx.edge_pos WHERE gc.chunk_id = mx.chunk_id",
+    **{k: f"SELECT a::INTEGER AS src_part, b::INTEGER AS dst_part FROM range({PARTS}) x(a), range({PARTS}) y(b)" for k in ("order_beta", "order_two_level", "order_by_name")},
+    "order_dispersed": f"SELECT k::INTEGER AS part FROM range({PARTS}) r(k)",
+    "order_sequential": "SELECT k::INTEGER AS part, 0 AS state_id FROM (VALUES (1), (6)) t(k)",
     "known_edge_filter": f"WITH {TYPED} SELECT src, rel, count(DISTINCT dst) AS n_known FROM e GROUP BY 1, 2",
     "negatives_all_filtered": f"WITH {TYPED}, k AS (SELECT src, rel, count(DISTINCT dst) AS n FROM e GROUP BY 1, 2) SELECT edge_id, (SELECT count(*) FROM part) - n AS n_negatives FROM e JOIN k ON k.src = e.src AND k.rel = e.rel",
     "known_edge_antijoin": f"WITH {TYPED}, s AS (SELECT edge_id, src, CASE rel WHEN 'A' THEN 'N' WHEN 'N' THEN 'R' ELSE 'A' END AS rel, dst FROM e) SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = s.src AND e.rel = s.rel AND e.dst = s.dst)",
@@ -309,5 +309,3 @@ SQL = {
 }
 
 # the same over all customers
-for _name in ("nbrs_all_out", "khop_frontier", "khop_edges", "next_layer_edges", "combined_neighbours"):
-    SQL[f"{_name}_whole"] = SQL[_name].replace(" WHERE c_mktsegment = 'BUILDING'", "").replace("'c' || s_suppkey AS node FROM supplier", "'c' || c_custkey AS node FROM customer")

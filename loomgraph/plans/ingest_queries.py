@@ -8,7 +8,7 @@ from loomgraph.functions.hashing import digest_sql
 from loomgraph.operators import ingest as op
 from loomgraph.operators.order import hash_positions, with_batches, with_chunks
 from loomgraph.plans.views import INT, TYPED, VECTORS, int_edges, node_vectors, typed_edges
-from loomgraph.session import table
+from loomgraph.session import table, written
 
 PLACE_QUERIES = (
     ("located_in", "SELECT nation.n_name, region.r_name FROM nation, region WHERE nation.n_regionkey = region.r_regionkey"),
@@ -68,7 +68,7 @@ def rel_dictionary(spark, d):
 
 
 def encode_edges(spark, d):
-    e = typed_edges(spark, d)
+    e = written(typed_edges(spark, d), "edges")  # read for both dictionaries and for encoding
     return op.encode_edges(e, op.node_dictionary(e, 7), op.relation_dictionary(e, 7))
 
 
@@ -159,12 +159,17 @@ _PLACED = lambda seed, source="e": f"p AS (SELECT *, row_number() OVER (ORDER BY
 _SPLIT = "CASE WHEN pos < floor(total * 0.9) THEN 'train' WHEN pos < floor(total * 0.9) + floor(total * 0.05) THEN 'valid' ELSE 'test' END"
 _DEGREES = "dg AS (SELECT node, sum(o) AS out_degree, sum(i) AS in_degree, count(*) AS degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node)"
 
-SQL = {
-    "edges_from_sql": " UNION ".join(
+def place_sql(n: int) -> str:
+    """Edges of the first n of PLACE_QUERIES."""
+    return " UNION ".join(
         f"SELECT '{s[0]}_{s[1]}_' || {clean_sql('a')} AS src, '{rel}' AS rel, '{t[0]}_{t[1]}_' || {clean_sql('b')} AS dst FROM (SELECT {q[7:].split(' FROM ')[0].split(', ')[0]} AS a, {q[7:].split(' FROM ')[0].split(', ')[1]} AS b FROM {q.split(' FROM ')[1]})"
         f" WHERE {clean_sql('a')} NOT IN ('0', '', 'none', 'not reported') AND {clean_sql('b')} NOT IN ('0', '', 'none', 'not reported')"
-        for (rel, q), (s, t) in zip(PLACE_QUERIES, PLACE_ENTITIES)
-    ),
+        for (rel, q), (s, t) in list(zip(PLACE_QUERIES, PLACE_ENTITIES))[:n]
+    )
+
+
+SQL = {
+    "edges_from_sql": place_sql(3),
     "clean_tokens": f"WITH {_CLEAN} SELECT * FROM c",
     "drop_invalid": f"WITH {_CLEAN} SELECT * FROM c WHERE {_OK}",
     "dedup_edges": f"WITH {_CLEAN} SELECT DISTINCT src, rel, dst FROM c WHERE {_OK}",

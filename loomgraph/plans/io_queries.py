@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import digest_sql
@@ -12,7 +13,8 @@ from loomgraph.graph import Graph
 from loomgraph.operators import ingest, partition, scoring
 from loomgraph.operators.order import hash_positions
 from loomgraph.plans import graph_queries, model_queries
-from loomgraph.plans.views import FACTS, INT, TYPED, VECTORS, facts, int_edges, node_vectors, typed_edges
+from loomgraph.plans.ingest_queries import PLACE_QUERIES
+from loomgraph.plans.views import FACTS, INT, LINES, TYPED, VECTORS, facts, int_edges, lines, node_vectors, typed_edges
 from loomgraph.session import shared_dir, table
 from loomgraph.sources import delimited, sinks
 from loomgraph.streaming import updates
@@ -106,13 +108,88 @@ def pending_state(spark, d):
     return orphans.pending(orphans.advance(first, refs.filter(F.col("at") >= cut), events.filter(F.col("at") >= cut)))
 
 
-QUERIES = {f.__name__: f for f in (read_delimited, write_buckets, export_embeddings, export_embeddings_csv, scores_csv, labels_csv, checkpoint_resume, prepared_graph, streamed_degrees, pending_state)}
+def _small_edges(spark, d):
+    """Suppliers and their nations, as arrays on the driver."""
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").orderBy("s_suppkey").toArrow()
+    return np.stack([np.asarray(rows["s_suppkey"]), np.asarray(rows["s_nationkey"])], 1).astype(np.int64)
+
+
+def array_edges(spark, d):
+    e = _small_edges(spark, d)
+    return delimited.from_array(spark, e, e[:, 0] / 4)
+
+
+def binary_edges(spark, d):
+    """All suppliers in a flat file of 32-bit numbers, read back."""
+    p = _path(spark, "flat")
+    rows = spark.createDataFrame([(bytearray(_small_edges(spark, d).astype("<i4").tobytes()),)], "content binary")
+    put = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    out = put.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(put)
+    out.write(bytearray(rows.first().content))
+    out.close()
+    return delimited.read_binary(spark, p, ("src", "dst"), "int32")
+
+
+def custom_splits(spark, d):
+    """Three files, one a split."""
+    paths = []
+    for rel in ("A", "N", "R"):
+        paths.append(_path(spark, "edges"))
+        typed_edges(spark, d).filter(F.col("rel") == rel).select("src", "rel", "dst").write.option("sep", "\t").csv(paths[-1])
+    e = delimited.custom_dataset(spark, paths, {"src_column": 0, "edge_type_column": 1, "dst_column": 2})
+    return e.groupBy("split", "src").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dst").alias("n_dst"))
+
+
+def edges_from_query_file(spark, d):
+    """A query file, its pairs checked, run and turned into edges."""
+    for t in ("nation", "region", "supplier"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    text = "\n".join(x for pair in PLACE_QUERIES[:2] for x in pair)
+    pairs = delimited.query_pairs(text)
+    return ingest.sql_to_edges(spark, pairs, [delimited.query_entities(q) for _, q in pairs])
+
+
+def metrics_csv(spark, d):
+    """Metrics beside the scores: (metric, value)."""
+    p = _path(spark, "metrics")
+    sinks.write_metrics(model_queries.rank_filtered(spark, d), {m: scoring.metric(m) for m in ("MRR", "HITS@10")}, p)
+    return spark.read.schema("metric string, value double").option("header", True).csv(p).withColumn("value", F.round("value", 6))
+
+
+def model_copy(spark, d):
+    p = _path(spark, "model")
+    n = node_vectors(spark, d).select("id", "vec")
+    sinks.export_model(n, n.select(F.lit("rel").alias("kind"), "id", "vec"), p)
+    return spark.read.parquet(f"{p}/rels").select("kind", "id", F.round(V.total(F.col("vec")), 6).alias("total"))
+
+
+def graph_batches(spark, d):
+    """(batch, n_edges, first): batch after batch over all edges of vector_edges, none left out and none twice."""
+    e = lines(spark, d)
+    size = -(-e.count() // 4)
+    g = Graph(e, node_vectors(spark, d).select("id"), None)
+    out = None
+    for b in g.batches(size, split=None, seed=5):
+        one = b.edges.agg(F.count(F.lit(1)).alias("n_edges"), F.min("edge_id").alias("first")).select(F.lit(b.number).alias("batch"), "n_edges", "first")
+        one = spark.createDataFrame(one.collect(), one.schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (array_edges, binary_edges, custom_splits, edges_from_query_file, metrics_csv, model_copy, graph_batches, read_delimited, write_buckets, export_embeddings, export_embeddings_csv, scores_csv, labels_csv, checkpoint_resume, prepared_graph, streamed_degrees, pending_state)}
 
 from loomgraph.plans.data_quality import _EVENTS  # noqa: E402
-from loomgraph.plans.ingest_queries import _LABELS, _PLACED, _SPLIT, _ids  # noqa: E402
+from loomgraph.plans.ingest_queries import _LABELS, _PLACED, _SPLIT, _ids, place_sql  # noqa: E402
 
 _SZ = graph_queries._SIZE
 SQL = {
+    "array_edges": "SELECT s_suppkey::BIGINT AS src, 0::BIGINT AS rel, s_nationkey::BIGINT AS dst, s_suppkey / 4.0 AS weight FROM supplier",
+    "binary_edges": "SELECT s_suppkey::INTEGER AS src, s_nationkey::INTEGER AS dst FROM supplier",
+    "edges_from_query_file": place_sql(2),
+    "custom_splits": f"WITH {TYPED} SELECT CASE rel WHEN 'A' THEN 'train' WHEN 'N' THEN 'valid' ELSE 'test' END AS split, src, count(*) AS n, count(DISTINCT dst) AS n_dst FROM e GROUP BY 1, 2",
+    "metrics_csv": f"WITH {model_queries._ranked('distmult')} SELECT metric, round(value, 6) AS value FROM (SELECT 'n' AS metric, count(*)::DOUBLE AS value FROM fl UNION ALL SELECT 'MRR', avg(1.0 / rank) FROM fl UNION ALL SELECT 'HITS@10', avg((rank <= 10)::INT) FROM fl)",
+    "model_copy": f"WITH {VECTORS} SELECT 'rel' AS kind, id, round(list_sum(vec), 6) AS total FROM v",
+    "graph_batches": f"WITH {VECTORS}, {LINES}, p AS (SELECT edge_id, (row_number() OVER (ORDER BY {digest_sql('5:0', 'edge_id')}, edge_id) - 1) // ceil(count(*) OVER () / 4)::BIGINT AS batch FROM f) SELECT batch, count(*) AS n_edges, min(edge_id) AS first FROM p GROUP BY batch",
     "read_delimited": f"WITH {TYPED} SELECT src, rel, dst, weight FROM e",
     "write_buckets": f"WITH {INT} SELECT edge_id, src, dst FROM i WHERE src // {_SZ} IN (0, 1) AND dst // {_SZ} IN (0, 1)",
     "export_embeddings": f"WITH {VECTORS} SELECT 'n' || id AS id, pos - 1 AS pos, round(vec[pos], 6) + 0.0 AS val FROM v, range(1, 65) r(pos)",

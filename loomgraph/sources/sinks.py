@@ -28,6 +28,19 @@ def write_scores(scored: DataFrame, path: str) -> None:
     scored.select(*[c for c in ("src", "rel", "dst", "rank", "score") if c in scored.columns]).write.option("header", True).csv(path)
 
 
+def write_metrics(results: DataFrame, metrics: dict, path: str) -> None:
+    """(metric, value) of (rank) or (y_true, y_pred) by name, with the number of rows, as CSV beside the scores."""
+    row = results.agg(F.count(F.lit(1)).cast("double").alias("n"), *[c.alias(name) for name, c in metrics.items()])
+    names = ["n", *metrics]
+    row.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`").cast("double") for n in names]))).alias("metric", "value")).write.option("header", True).csv(path)
+
+
+def export_model(nodes: DataFrame, rels: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A trained model, as it is, beside its exported vectors: nodes (id, vec, ...) and rels (kind, id, vec, ...)."""
+    for name, df in (("nodes", nodes), ("rels", rels)):
+        df.write.mode("overwrite" if overwrite else "error").parquet(f"{path}/{name}")
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     labels.select("id", "y_pred", "y_true").write.option("header", True).csv(path)
 
