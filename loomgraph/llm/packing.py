@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.tokenizer import VOCABULARY, with_token_counts
+from loomgraph.llm.tokenizer import with_token_counts
 from loomgraph.session import only, spread
 
 CAPACITY = 2048
@@ -129,7 +129,7 @@ def _pack_group(capacity: int, part_sources: bool, slack: float | None):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, vocabulary: str = VOCABULARY, part_sources: bool = False, slack: float | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, part_sources: bool = False, slack: float | None = None) -> DataFrame:
     """(doc_id, piece, start_token, n_tokens, container_id): every text in containers of `capacity` tokens.
 
     Documents are spread by a hash over groups of about `group_docs`, as many as the corpus needs; each group is packed by

@@ -9,6 +9,10 @@ from loomgraph.llm import cross_split, keyword_pages, packing, similar, term_cou
 from loomgraph.session import table
 
 
+#: where the vocabulary file lies for these queries
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return similar.similar_pairs(table(spark, d, "node_embeddings")).select("node_id_a", "node_id_b")
 
@@ -32,11 +36,11 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizer.encode(table(spark, d, "documents"))
+    return tokenizer.encode(table(spark, d, "documents"), VOCABULARY)
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(table(spark, d, "documents"))
+    return packing.pack_documents(table(spark, d, "documents"), VOCABULARY)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

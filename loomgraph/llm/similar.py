@@ -59,8 +59,7 @@ def _usable(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
         # equal directions up to the precision of a float share a class
         direction = np.round(v / np.linalg.norm(v, axis=1, keepdims=True), 5) + 0.0
         cls = [hashlib.md5(x.tobytes()).digest() for x in direction]
-        vec = [x.tobytes() for x in v.astype(np.float32)]
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(cls, pa.binary()), pa.array(vec, pa.binary())], names=["node_id", "cls", "vec"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(cls, pa.binary()), _binaries(v.astype(np.float32))], names=["node_id", "cls", "vec"])
 
 
 def usable_vectors(df: DataFrame, key: str = "node_id", vector: str = "embedding", dim: int = DIM) -> DataFrame:
@@ -68,6 +67,12 @@ def usable_vectors(df: DataFrame, key: str = "node_id", vector: str = "embedding
     return spread(only(df, key, vector)).select(F.col(key).cast("bigint").alias("node_id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(lambda b: _usable(b, dim), "node_id bigint, cls binary, vec binary")
 
 
+def _binaries(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of an array."""
+    data, size = np.ascontiguousarray(rows), rows.itemsize * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * size), pa.py_buffer(data)])
+
+
 def _floats(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.float32)[column.offset * dim :][: len(column) * dim].reshape(-1, dim)
 
@@ -139,7 +144,7 @@ def _placed(batches: Iterator[pa.RecordBatch], dim: int, cuts: _Cuts, middles: n
     for batch in batches:
         for rows, v in _outside(batch, dim, middles, apart):
             hashes, far = _hashes(v, planes)
-            sketch = pa.array([x.tobytes() for x in far], pa.binary()) if rows.num_columns > 2 else None
+            sketch = _binaries(far) if rows.num_columns > 2 else None
             for t in range(TREES):
                 part, depth = cuts.of(t, hashes[:, t])
                 signed = (hashes[:, t] ^ np.uint64(1 << 63)).view(np.int64)  # sorts like the bit string
@@ -223,7 +228,8 @@ def _ascended(batches: Iterator[pa.RecordBatch], most_apart: int, at_once: int =
     width = TREES * SKETCH_BITS // 64
     for part in _parts(batches):
         h, node, depth = _sorted_array(part)
-        far = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint64).reshape(-1, width)
+        sketch = part["sketch"].combine_chunks()
+        far = np.frombuffer(sketch.buffers()[2], np.uint64)[sketch.offset * width :][: len(h) * width].reshape(-1, width)
         stop = np.maximum(np.asarray(part["stop"]), depth).astype(np.uint64)
         below = np.where(stop == 0, np.uint64(2**64 - 1), (np.uint64(1) << (np.uint64(BITS) - np.maximum(stop, np.uint64(1)))) - np.uint64(1))
         first, last = np.searchsorted(h, h & ~below), np.searchsorted(h, h | below, side="right")
@@ -235,11 +241,12 @@ def _ascended(batches: Iterator[pa.RecordBatch], most_apart: int, at_once: int =
             x = np.repeat(np.arange(i, j), size)
             y = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[i:j], size)
             near = (x != y) & (np.bitwise_count(far[x] ^ far[y]).sum(1) <= most_apart)
-            a, b = node[x[near]], node[y[near]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+            x, y = x[near], y[near]
+            met = np.unique(np.minimum(x, y) * len(h) + np.maximum(x, y))
+            a, b = node[met // len(h)], node[met % len(h)]
+            other = a != b
+            if other.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other])], names=["a", "b"])
             i = j
 
 

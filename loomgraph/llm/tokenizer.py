@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import only, spread
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: how this vocabulary splits a text into words
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: words a worker remembers, and the longest it keeps; both bound memory only, others are encoded anew
@@ -148,7 +147,7 @@ def _encoder(vocabulary: _Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row, ids in order and without special tokens.
 
     Null and empty texts give an empty list; blank ones the ids of their white space. The strings of special tokens are
@@ -173,7 +172,7 @@ def _counter(vocabulary: _Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def with_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def with_token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Replace the column `text` by n_tokens, the number of its ids (0 for null and empty texts)."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(_counter(share(docs, vocabulary)), f"{kept}, n_tokens bigint")

@@ -10,8 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomgraph.llm import packing, tokenizer
+from loomgraph.llm.queries import VOCABULARY
 
-RANKS = tokenizer.read_ranks(open(tokenizer.VOCABULARY, "rb").read())
+RANKS = tokenizer.read_ranks(open(VOCABULARY, "rb").read())
 TEXTS = [
     "", " ", "\n\n", None, "Hello world", "  two  spaces ", "it's we'll I'm", "<|endoftext|>", "naïve café", "我把船锚放在灯塔了。", "♪ la la la ♪", "1\n00:00:54,880 --> 00:00:57,850\nYes.\n\n2\n",
     "a" * 20_000, "ab" * 5_000 + " " * 3_000, "﻿x​ y", "🏳️‍🌈👨‍👩‍👧", "x\r\ny\t\tz", "٣٤٥ १२३ Ⅷ", "\u0085  q",
@@ -59,7 +60,7 @@ def test_merge_of_bytes():
 def test_corpus(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     enc = _tiktoken()
-    got = {r.doc_id: list(r.ids) for r in tokenizer.encode(docs).collect()}
+    got = {r.doc_id: list(r.ids) for r in tokenizer.encode(docs, VOCABULARY).collect()}
     want = {r.doc_id: enc(r.text or "") for r in docs.select("doc_id", "text").collect()}
     assert got == want
 
@@ -71,18 +72,18 @@ def _docs(spark, rows):
 def test_null_empty_repeated_and_clashing(spark):
     docs = _docs(spark, [(1, None, "a"), (2, "", "a"), (3, " ", None), (None, "x", "a"), (4, "x", "a"), (4, "x", "a")])
     wide = docs.select("*", F.lit("q").alias("ids"), F.lit("q").alias("TEXT"), F.lit(7).alias("n_tokens"))
-    got = sorted((r.doc_id or 0, tuple(r.ids)) for r in tokenizer.encode(wide).collect())
+    got = sorted((r.doc_id or 0, tuple(r.ids)) for r in tokenizer.encode(wide, VOCABULARY).collect())
     assert got == [(0, (87,)), (1, ()), (2, ()), (3, (220,)), (4, (87,)), (4, (87,))]
-    assert tokenizer.encode(docs.limit(0)).count() == 0
-    packed = packing.pack_documents(wide).collect()
+    assert tokenizer.encode(docs.limit(0), VOCABULARY).count() == 0
+    packed = packing.pack_documents(wide, VOCABULARY).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in packed) == [(0, 1), (1, 0), (2, 0), (3, 1), (4, 1), (4, 1)]
     assert all((r.container_id is None) == (r.n_tokens == 0) for r in packed)
-    assert packing.pack_documents(docs.limit(0)).count() == 0
+    assert packing.pack_documents(docs.limit(0), VOCABULARY).count() == 0
 
 
 def test_small_batches_and_forgetting(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(30)
-    want = {r.doc_id: list(r.ids) for r in tokenizer.encode(docs).collect()}
+    want = {r.doc_id: list(r.ids) for r in tokenizer.encode(docs, VOCABULARY).collect()}
     words = tokenizer._Words(RANKS, list)
     monkeypatch.setattr(tokenizer, "REMEMBERED", 5)
     assert [words[w] for w in ("abc", " the", "q" * 300, "z1", "y2", "x3", "w4", "v5")] == [tokenizer.merge(w.encode(), RANKS) for w in ("abc", " the", "q" * 300, "z1", "y2", "x3", "w4", "v5")]
@@ -152,10 +153,10 @@ def test_equally_tight_prefers_another_source():
 
 def test_packed_corpus(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    counts = {r.doc_id: len(r.ids) for r in tokenizer.encode(docs).collect()}
+    counts = {r.doc_id: len(r.ids) for r in tokenizer.encode(docs, VOCABULARY).collect()}
     for how in ({}, {"group_docs": 20}):
         size, total = defaultdict(int), defaultdict(int)
-        for r in packing.pack_documents(docs, **how).collect():
+        for r in packing.pack_documents(docs, VOCABULARY, **how).collect():
             total[r.doc_id] += r.n_tokens
             if r.container_id is not None:
                 size[r.container_id] += r.n_tokens
@@ -169,7 +170,7 @@ def test_no_container_breaks_a_conflict_whatever_the_tasks(spark, small):
     runs = []
     for tasks in (1, 7):
         held = defaultdict(list)
-        rows = packing.pack_documents(docs.repartition(tasks)).collect()
+        rows = packing.pack_documents(docs.repartition(tasks), VOCABULARY).collect()
         for r in rows:
             if r.container_id is not None and r.n_tokens < 2048:
                 held[r.container_id].append(flat[r.doc_id])
@@ -179,5 +180,5 @@ def test_no_container_breaks_a_conflict_whatever_the_tasks(spark, small):
 
 
 def test_vocabulary_file_is_read_as_described():
-    line = open(tokenizer.VOCABULARY, "rb").readline().split()
+    line = open(VOCABULARY, "rb").readline().split()
     assert RANKS[base64.b64decode(line[0])] == int(line[1]) and len(RANKS) == 50256
