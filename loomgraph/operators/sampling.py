@@ -54,6 +54,7 @@ def _with_replacement(found: DataFrame, n: int, seed: int) -> DataFrame:
     Positions are counted within (center, first digits of the digest), with offsets from the counts of a center, so a
     hub's edges are spread over 16 tasks, or 256 and more where there are more than PART_EDGES for each.
     """
+    found = written(found, "neighbours")  # looked at three times
     digits, n_found = 1, found.count()
     while 16**digits * PART_EDGES < n_found:
         digits += 1

@@ -61,5 +61,16 @@ def latest_state(spark: SparkSession, path: str) -> tuple[int, DataFrame] | None
     return (max(epochs), spark.read.parquet(f"{path}/epoch={max(epochs)}")) if epochs else None
 
 
+def forget_before(spark: SparkSession, path: str, epoch: int) -> None:
+    """Delete the versions under path that are older than `epoch`."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(at):
+        name = s.getPath().getName()
+        if name.startswith("epoch=") and int(name[6:]) < epoch:
+            fs.delete(s.getPath(), True)
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)

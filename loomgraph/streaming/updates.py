@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.operators import ingest, orphans
-from loomgraph.sources.sinks import latest_state, save_state
+from loomgraph.sources.sinks import forget_before, latest_state, save_state
 
 
 def merged(path: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -19,6 +19,8 @@ def merged(path: str, step: Callable[[DataFrame | None, DataFrame], DataFrame])
         last = latest_state(batch.sparkSession, path)
         if last is None or last[0] < epoch:
             save_state(step(None if last is None else last[1], batch), path, epoch)
+            if last is not None:
+                forget_before(batch.sparkSession, path, last[0])  # the one before stays, for readers that are at it
 
     return run
 
