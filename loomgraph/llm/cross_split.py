@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.labels import normal_form
-from loomgraph.session import only, sent_if_small, written
+from loomgraph.session import only, sent_if_small, spread, written
 
 #: characters of a label's last two pieces; labels of at most SHORT characters use deletion variants, both from LONG on
 PIECE = 5
@@ -36,7 +36,7 @@ SLICE = 20_000
 
 def normal_edges(edges: DataFrame) -> DataFrame:
     """(edge_id, split, source, kind, lo, hi, key): endpoints in order, absent labels left out; key hashes kind, lo and hi."""
-    named = only(edges, "edge_id", "split", "source", "src_column", "edge_type_column", "dst_column")
+    named = spread(only(edges, "edge_id", "split", "source", "src_column", "edge_type_column", "dst_column"))
     n = named.filter(F.col("split").isin(TRAIN, *EVAL) & F.col("edge_id").isNotNull()).select(
         "edge_id", "split", "source", normal_form(F.col("edge_type_column")).alias("kind"), normal_form(F.col("src_column")).alias("s"), normal_form(F.col("dst_column")).alias("d")
     )
