@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.labels import normal_form
 from loomgraph.operators.skew import heavy_labels
-from loomgraph.session import only, sent_if_small, written
+from loomgraph.session import only, sent_if_small, spread, written
 
 #: sub-keys for references of heavy keys that no parent holds; batches that a table is divided into at most
 SALTS, MOST_BATCHES = 256, 12
@@ -27,7 +27,7 @@ FIELDS = (("src_column", "node_mapping"), ("edge_type_column", "relation_mapping
 
 def references(edges: DataFrame, fields: tuple[tuple[str, str], ...] = FIELDS, key: str = "edge_id", at: str = "loaded_at") -> DataFrame:
     """(parent, field, label, ref_id, at) of every label that is not absent."""
-    norm = only(edges, key, at, *dict.fromkeys(c for c, _ in fields)).select(F.col(key).alias("ref_id"), F.col(at).alias("at"), *[normal_form(F.col(c)).alias(f"l{i}") for i, (c, _) in enumerate(fields)])
+    norm = spread(only(edges, key, at, *dict.fromkeys(c for c, _ in fields))).select(F.col(key).alias("ref_id"), F.col(at).alias("at"), *[normal_form(F.col(c)).alias(f"l{i}") for i, (c, _) in enumerate(fields)])
     each = [F.struct(F.lit(p).alias("parent"), F.lit(c).alias("field"), F.col(f"l{i}").alias("label")) for i, (c, p) in enumerate(fields)]
     return norm.select("ref_id", "at", F.explode(F.array(*each)).alias("x")).select("x.parent", "x.field", "x.label", "ref_id", "at").filter(F.col("label").isNotNull())
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from loomgraph.functions.hashing import draw
 from loomgraph.operators import scoring
 from loomgraph.operators.optim import SPARSE_EPS, adagrad
 from loomgraph.operators.order import hash_positions, with_batches
-from loomgraph.session import discard, written
+from loomgraph.session import BROADCAST_BYTES, discard, spread, written
 from loomgraph.sources.sinks import latest_state, save_state
 
 LOSSES = ("softmax_ce", "cross_entropy", "ranking", "bce_sigmoid", "bce_logits", "mse", "softplus")
@@ -75,31 +76,61 @@ def link_gradients(batch: DataFrame, negatives: DataFrame, nodes: DataFrame, rel
     """(kind, id, grad): gradients of the summed loss of a batch of edges (src, rel, dst) by node and relation vectors, not yet added up across tasks.
 
     negatives (node) stand in for dst, the same ones for all edges of the batch; they are a parameter of the batch, so few, and go to
-    every task. The other side is had with swapped edges, inverse relations and a rel_kind of their own.
+    every task. So do the tables of vectors if they are no larger than BROADCAST_BYTES; else each edge is joined with its vectors. The other side is had with swapped edges, inverse relations and a rel_kind of their own.
     """
     found = negatives.select("node").join(nodes.select(F.col("id").alias("node"), "vec"), "node").toArrow()
     order = np.argsort(np.asarray(found["node"]), kind="stable")
     node = np.asarray(found["node"], np.int64)[order]
     matrix = np.array(found["vec"].to_pylist(), np.float64).reshape(-1, dim)[order]
 
+    def summed_up(src: np.ndarray, rel: np.ndarray, dst: np.ndarray, s: np.ndarray, r: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gs, gr, gd, gn = slopes(decoder, loss, s, r, d, matrix, margin)
+        for kind, ids, g in (("node", np.concatenate([src, dst, node]), np.concatenate([gs, gd, gn])), (rel_kind, rel, gr)):
+            keys, where = np.unique(ids, return_inverse=True)
+            total = np.zeros((len(keys), dim))
+            np.add.at(total, where, g)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * dim, pa.int32()), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), lists], names=["kind", "id", "grad"])
+
+    edges = batch.select("src", F.col("rel").cast("bigint").alias("rel"), "dst")
+    tables = [_sorted_matrix(df, key, dim) for df, key in ((nodes, "id"), (rels, "rel"))]
+    if all(t is not None for t in tables):
+        shared = batch.sparkSession.sparkContext.broadcast(tables)
+
+        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (ids, vectors), (rel_ids, rel_vectors) = shared.value
+            for b in batches:
+                ends = [np.asarray(b.column(k)) for k in range(3)]
+                held = np.isin(ends[0], ids) & np.isin(ends[2], ids) & np.isin(ends[1], rel_ids)
+                src, rel, dst = (x[held] for x in ends)
+                for at in range(0, len(src), slice_rows):
+                    x, y, z = (e[at : at + slice_rows] for e in (src, rel, dst))
+                    yield from summed_up(x, y, z, vectors[np.searchsorted(ids, x)], rel_vectors[np.searchsorted(rel_ids, y)], vectors[np.searchsorted(ids, z)])
+
+        return spread(edges.filter(F.col("src").isNotNull() & F.col("rel").isNotNull() & F.col("dst").isNotNull())).mapInArrow(looked_up, GRADIENT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, slice_rows):
                 part = b.slice(at, slice_rows)
                 s, r, d = (np.asarray(part.column(k).flatten(), np.float64).reshape(-1, dim) for k in ("vs", "vr", "vd"))
-                gs, gr, gd, gn = slopes(decoder, loss, s, r, d, matrix, margin)
-                ends = np.concatenate([np.asarray(part.column("src")), np.asarray(part.column("dst")), node])
-                for kind, ids, g in (("node", ends, np.concatenate([gs, gd, gn])), (rel_kind, np.asarray(part.column("rel")), gr)):
-                    keys, where = np.unique(ids, return_inverse=True)
-                    total = np.zeros((len(keys), dim))
-                    np.add.at(total, where, g)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * dim, pa.int32()), pa.array(total.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), lists], names=["kind", "id", "grad"])
-
-    g = scoring.gathered(batch.select("src", F.col("rel").cast("bigint").alias("rel"), "dst"), nodes, rels)
+                yield from summed_up(*(np.asarray(part.column(k)) for k in ("src", "rel", "dst")), s, r, d)
+
+    g = scoring.gathered(edges, nodes, rels)
     return g.select("src", "rel", "dst", "vs", "vr", "vd").mapInArrow(run, GRADIENT)
 
 
+def _sorted_matrix(df: DataFrame, key: str, dim: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids in order and their vectors, or None if they are more than every worker should get."""
+    if df.count() * dim * 8 > BROADCAST_BYTES:
+        return None
+    found = df.select(F.col(key).cast("bigint").alias("k"), "vec").toArrow()
+    ids = np.asarray(found["k"], np.int64)
+    order = np.argsort(ids, kind="stable")
+    values = pc.list_flatten(found["vec"]).combine_chunks()
+    return ids[order], np.asarray(values, np.float64).reshape(-1, dim)[order]
+
+
 def class_gradients(labelled: DataFrame, n_classes: int) -> DataFrame:
     """(id, grad): of cross entropy by the logits of (id, logits, y_true)."""
     m = F.array_max("logits")

@@ -12,7 +12,7 @@ from loomgraph.functions.hashing import digest_sql, draw, draw_sql, unit_sql
 from loomgraph.operators import gnn, optim, sampling, scoring, train
 from loomgraph.operators.order import hash_positions, with_chunks
 from loomgraph.plans.views import FACTS, HUB_EDGES, LINES, VECTOR_EDGES, VECTORS, facts, hub_edges, lines, node_vectors, vector_edges
-from loomgraph.session import table
+from loomgraph.session import table, written
 
 DIM, OUT, CHUNKS, PER_CHUNK = 64, 8, 10, 16
 LIMIT = 0.125
@@ -287,16 +287,18 @@ def adam_decayed_step(spark, d):
 
 
 def train_link_prediction(spark, d):
-    """Two epochs over nine tenths of lines, and both ranks of the others after each; sums of floats differ in their last digits between runs, so there is no SQL for it."""
-    n = lines(spark, d).count()
+    """Two epochs over nine tenths of lines, then both ranks of the others; sums of floats differ in their last digits between runs, so there is no SQL for it."""
+    e = written(lines(spark, d), "lines")
+    n = e.count()
     held_out = draw(64, "edge_id") % 10 == 0
     rels = _two_rels(spark, d).unionByName(_rels(spark, d).filter("rel = 2"))
     zero = F.array_repeat(F.lit(0.0), DIM)
     both = [rels.select(F.lit(k).alias("kind"), F.col("rel").cast("bigint").alias("id"), "vec", zero.alias("state")) for k in ("rel", "inverse")]
     model = train.Model(_nodes(spark, d).withColumn("state", zero), both[0].unionByName(both[1]))
     settings = train.Settings(batch_edges=-(-n // 2), negatives=50)
-    _, history = train.train(lines(spark, d).filter(~held_out), model, settings, 2, valid=lines(spark, d).filter(held_out))
-    return spark.createDataFrame([(h["epoch"], h["n"], round(h["mrr"], 3), round(h["hits_10"], 3)) for h in history], "epoch int, n bigint, mrr double, hits_10 double")
+    model, _ = train.train(e.filter(~held_out), model, settings, 2)
+    r = scoring.both_side_ranks(e.filter(held_out), model.node_vectors, model.rel_vectors(), model.rel_vectors("inverse"), "distmult", DIM, e)
+    return r.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.round(scoring.mrr(), 3).alias("mrr"), F.round(scoring.hits(10), 3).alias("hits_10"))
 
 
 def train_classifier(spark, d):

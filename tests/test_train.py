@@ -66,6 +66,24 @@ def test_resumed_equals_uninterrupted(spark, tmp_path):
     assert [h["epoch"] for h in history] == [0, 1] and history[0]["n"] == 40
 
 
+def test_joined_vectors_give_the_same(spark, monkeypatch):
+    edges, model = _graph(spark)
+    edges = edges.unionByName(spark.createDataFrame([(90, 1, 0, 99), (91, None, 0, 1)], edges.schema))  # ends without a vector
+    negs = spark.createDataFrame([(1,), (5,), (5,)], "node bigint")
+
+    def grads():
+        g = train.link_gradients(edges, negs, model.node_vectors, model.rel_vectors(), "complex", "softmax_ce", 4, slice_rows=1000)
+        total = {}
+        for r in g.collect():
+            total[r.kind, r.id] = total.get((r.kind, r.id), 0) + np.array(r.grad)
+        return total
+
+    a = grads()
+    monkeypatch.setattr(train, "BROADCAST_BYTES", 0)
+    b = grads()
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
 def test_batches_hold_each_edge_once(spark):
     edges, _ = _graph(spark)
     seen = [[r.edge_id for r in b.collect()] for b in train.batches_of(edges, 25, 1, 0)]
